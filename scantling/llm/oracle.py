@@ -68,6 +68,34 @@ roots as (select node, min(root) as root from reach group by node)
 select root as sample_id_a, node as sample_id_b from roots where node <> root
 """
 
+P5_FOUND = r"""
+with sides as (
+  select distinct model, 'train' as side, unnest(train_pool) as id from splits where dataset = 'enron'
+  union select model, 'held', unnest(eval) from splits where dataset = 'enron'
+  union select model, 'held', unnest(test) from splits where dataset = 'enron'),
+words as (select sample_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from enron where text is not null),
+shingles as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as s from words where len(w) >= 3),
+sizes as (select id, count(*) as n from shingles group by id),
+common as (select x.id as x, y.id as y, count(*) as c from shingles x join shingles y on x.s = y.s and x.id < y.id group by x.id, y.id),
+near as (
+  select x, y from common join sizes a on a.id = x join sizes b on b.id = y where c >= 0.6 * (a.n + b.n - c)
+  union all select id, id from sizes)
+select distinct t.model, least(t.id, h.id) as sample_id_a, greatest(t.id, h.id) as sample_id_b
+from sides t join sides h on t.model = h.model and t.side = 'train' and h.side = 'held'
+join near on near.x = least(t.id, h.id) and near.y = greatest(t.id, h.id)
+union
+select t.model, t.id, t.id from sides t join sides h on t.model = h.model and t.id = h.id and t.side = 'train' and h.side = 'held'
+join enron on enron.sample_id = t.id
+"""
+
+P9_FOUND = r"""
+with grams as (
+  select 'i' as side, item_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from heldout_items
+  union all select 'd', doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') from documents),
+runs as (select side, id, unnest(list_transform(range(1, len(w) - 10), lambda i: w[i:i + 11])) as g from grams where len(w) >= 12)
+select distinct d.id as doc_id, i.id as item_id from runs d join runs i on d.g = i.g and d.side = 'd' and i.side = 'i'
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_records": P1_RECORDS, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_records": P1_RECORDS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND}

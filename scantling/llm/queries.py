@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.llm import dedup, groups, topn
+from scantling.llm import crosssplit, dedup, groups, leakage, topn
 from scantling.session import table
 
 SPLIT_TARGETS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -62,5 +62,36 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return groups.balanced_splits(_mask_related(spark, d), SPLIT_TARGETS).selectExpr("member as sample_id", "root as component", "bin", "split")
 
 
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "enron").select(F.col("sample_id").alias("id"), "text", "source")
+
+
+def _mail_splits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "splits").where("dataset = 'enron'")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = crosssplit.overlapping_rows(_mails(spark, d).select("id", "text"), _mail_splits(spark, d))
+    return rows.selectExpr("model", "a as sample_id_a", "b as sample_id_b")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps counted by model, split and source."""
+    return crosssplit.overlap_report(_mails(spark, d), _mail_splits(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str, **how: int) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "heldout_items").select("item_id", "text"), **how)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, window=12).where("exact").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 24 words that stand in a document exactly or nearly, by item."""
+    return _leaks(spark, d, window=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p6_found, p6_splits)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p5_found, p5_report, p6_found, p6_splits, p9_found, p9_leaks)}
