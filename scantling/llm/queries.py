@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.llm import crosssplit, dedup, groups, leakage, topn
+from scantling.llm import crosssplit, dedup, groups, leakage, quality, topn
 from scantling.session import table
 
 SPLIT_TARGETS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -93,5 +93,14 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, window=24)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents")).where("sort <> 'prose'").selectExpr("doc_id", "sort as kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and sort of every document."""
+    return quality.text_statistics(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p5_found, p5_report, p6_found, p6_splits, p9_found, p9_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p5_found, p5_report, p6_found, p6_splits, p9_found, p9_leaks, p10_found, p10_statistics)}
