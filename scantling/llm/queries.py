@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, quality, topn
+from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, quality, quotes, topn
 from scantling.session import table
 
 SPLIT_TARGETS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -93,6 +93,15 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, window=24)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return quotes.old_lines(table(spark, d, "enron").select("sample_id", "sent_at", "text"))
+
+
+def p4_new_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each mail with only its sender's new text."""
+    return quotes.new_texts(table(spark, d, "enron").select("sample_id", "sent_at", "text"))
+
+
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     mails = table(spark, d, "enron").select(F.lit("enron").alias("dataset"), "sample_id", "source", "text")
     return mojibake.garbled(mails.unionByName(table(spark, d, "sms").select(F.lit("sms").alias("dataset"), "sample_id", F.lit("").alias("source"), "text")))
@@ -117,4 +126,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p9_found, p9_leaks, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p9_found, p9_leaks, p10_found, p10_statistics)}
