@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, quality, quotes, topn
+from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, packing, quality, quotes, topn
 from scantling.session import table
 
 SPLIT_TARGETS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -116,6 +116,11 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2,048 tokens of each document, or of each piece of a longer one."""
+    return packing.containers(packing.token_counts(table(spark, d, "documents").select("doc_id", "text")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents")).where("sort <> 'prose'").selectExpr("doc_id", "sort as kind")
 
@@ -126,4 +131,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p9_found, p9_leaks, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
