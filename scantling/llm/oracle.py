@@ -41,13 +41,13 @@ select dataset, min(sample_id) as sample_id, count(*) as copies from keys group
 P3_FOUND = """
 with best as (
   select distinct dataset, model, balance_mode, k, run_id, test_recall_at_1pct_fpr as s from runs
-  where s is not null and not isnan(s)),
+  where s is not null and s::varchar <> 'nan'),
 ranked as (
   select *, row_number() over (partition by dataset, model, balance_mode, k order by s desc, run_id) as pos from best),
 entries as (
   select vec_id, unnest(range(len(x))) as i, abs(unnest(x)) as v from activations where x is not null),
 strong as (
-  select *, row_number() over (partition by vec_id order by v desc, i) as pos from entries where v is not null and not isnan(v))
+  select *, row_number() over (partition by vec_id order by v desc, i) as pos from entries where v is not null and v::varchar <> 'nan')
 select 'runs' as source, concat_ws('|', dataset, model, balance_mode, k) as group_key, cast(pos as int) as pos, run_id as item from ranked where pos <= 3
 union all
 select 'activations', cast(vec_id as varchar), cast(pos as int), cast(i as varchar) from strong where pos <= 3

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, packing, quality, quotes, topn
+from scantling.llm import crosssplit, dedup, groups, leakage, mojibake, packing, pii, quality, quotes, topn
 from scantling.session import table
 
 SPLIT_TARGETS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -34,6 +34,20 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return dedup.untagged(["enron", "sms", "mask"], records, "rep").selectExpr("dataset", "rep as sample_id", "copies")
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    mails, messages = (table(spark, d, t).select(F.lit(t).alias("dataset"), "sample_id", "text") for t in ("enron", "sms"))
+    return mails.unionByName(messages)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.details(_messages(spark, d), table(spark, d, "person_names"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail and message with typed placeholders for its personal details."""
+    return pii.redacted(_messages(spark, d), table(spark, d, "person_names"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["dataset", "model", "balance_mode", "k"]
     runs = topn.top_n(table(spark, d, "runs").select(*keys, "test_recall_at_1pct_fpr", "run_id"), keys, "test_recall_at_1pct_fpr", "run_id", 3)
@@ -131,4 +145,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_redacted, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
