@@ -23,17 +23,24 @@ MAIL_FIELDS = ("Subject", "From", "To", "Date")
 
 FIELD_END, PART_END = "\u0001", "\u0002"
 HEADER_LINE = r"(?i)^[ \t]*(?:" + "|".join(MAIL_FIELDS) + r")[ \t]*:"
-OPENING_HEADERS = r"(?i)\A((?:[ \t]*(?:" + "|".join(MAIL_FIELDS) + r")[ \t]*:[^\n]*(?:\n|\z))+)"
 ITEM = r"^[^\p{L}\p{N}]*\p{L}[\p{L}\p{N} _-]{0,40}:"
 
 RUNS = "rep long, member long, copies long, edge string"
 
 
+def header_lines(lines: Column) -> Column:
+    """How many header lines open a mail, given its lines."""
+    first_other = F.array_position(F.transform(lines, lambda x: x.rlike(HEADER_LINE)), False)
+    return F.when(first_other == 0, F.size(lines)).otherwise(first_other - 1).cast("int")
+
+
 def mail_key(text: Column) -> Column:
     """Key of a mail: its opening header lines in sorted order, then the letters and digits of the rest."""
-    head = F.regexp_extract(text, OPENING_HEADERS, 1)
-    lines = F.array_sort(F.transform(F.filter(F.split(head, "\n"), lambda x: x.rlike(HEADER_LINE)), letters_digits))
-    return F.when(text.isNotNull(), F.concat(F.array_join(lines, FIELD_END), F.lit(PART_END), letters_digits(F.substring(text, F.length(head) + 1, F.length(text)))))
+    lines = F.split(text, "\n")
+    n = header_lines(lines)
+    head = F.array_sort(F.transform(F.slice(lines, F.lit(1), n), letters_digits))
+    rest = F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
+    return F.when(text.isNotNull(), F.concat(F.array_join(head, FIELD_END), F.lit(PART_END), letters_digits(rest)))
 
 
 def items_key(text: Column) -> Column:
