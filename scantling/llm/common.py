@@ -12,8 +12,8 @@ NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
 
 def letters_digits(text: Column) -> Column:
-    """Letters and digits only, without case (upper first, so that sharp s and SS agree)."""
-    return F.lower(F.upper(F.regexp_replace(text, NOT_ALNUM, "")))
+    """Letters and digits only, without case: sharp s agrees with ss, a final sigma with any other."""
+    return F.replace(F.replace(F.lower(F.regexp_replace(text, NOT_ALNUM, "")), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-ALNUM = r"lower(upper(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g')))"
+ALNUM = r"replace(replace(lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g')), 'ß', 'ss'), 'ς', 'σ')"
 
 _KEYS = rf"""
 mail as (
