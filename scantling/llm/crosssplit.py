@@ -58,7 +58,7 @@ def band_keys(value: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
     for k in range(bands):
         key = np.full(len(offsets) - 1, k + 1, np.uint64)
         for r in range(k * rows, (k + 1) * rows):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(value * a[r] + b[r]), offsets[:-1]))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value * a[r] + b[r], offsets[:-1]))
         out[:, k] = key
     return out
 
@@ -94,15 +94,19 @@ def classes(texts: DataFrame) -> DataFrame:
     return keyed.join(least, "digest").select("id", "class")
 
 
-def similar_classes(texts: DataFrame, membership: DataFrame, sides: DataFrame, size: int, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs of different classes ``x < y`` with Jaccard similarity of their word shingles of at least ``similarity``.
+def shingle_sets(texts: DataFrame, membership: DataFrame, size: int) -> DataFrame:
+    """``class, shingles``: the distinct shingle hashes of each class, sorted; classes shorter than a shingle have none."""
+    heads = texts.join(membership.where("id = class").select("id", "class"), "id").select("class", word_hashes(F.col("text")).alias("words"))
+    return cut(heads.where(F.size("words") >= size).mapInArrow(_sets(size), "class long, shingles array<long>"))
+
+
+def similar_classes(sets: DataFrame, sides: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Pairs of different classes ``x < y`` with Jaccard similarity of their shingle sets of at least ``similarity``.
 
     ``sides`` has ``class, train, held``: arrays of the split maps that hold the class on either side; only
-    pairs that some map parts are compared. Texts shorter than a shingle have no pair. Each pair above the
+    pairs that some map parts are compared. Each pair above the
     threshold is found with the probability that the bands give (0.999 at 0.6).
     """
-    heads = texts.join(membership.where("id = class").select("id", "class"), "id").select("class", word_hashes(F.col("text")).alias("words"))
-    sets = cut(heads.where(F.size("words") >= size).mapInArrow(_sets(size), "class long, shingles array<long>"))
     banded = sets.mapInArrow(_bands(bands, rows), "class long, n int, bucket long")
     x, y = (banded.select("bucket", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
     least = F.lit(similarity)
@@ -127,10 +131,10 @@ def _overlaps(texts: DataFrame, splits: DataFrame, size: int, similarity: float)
     membership = cut(classes(texts))
     member = sides_of(splits).join(membership, "id")
     sides = member.groupBy("class").agg(F.collect_set(F.when(F.col("train"), F.col("model"))).alias("train"), F.collect_set(F.when(F.col("eval") | F.col("test"), F.col("model"))).alias("held"))
-    pairs = cut(similar_classes(texts, membership, sides, size, similarity))
+    sets = shingle_sets(texts, membership, size)
+    pairs = cut(similar_classes(sets, sides, similarity))
     both = pairs.select("x", "y").unionByName(pairs.selectExpr("y as x", "x as y"))
-    long = texts.join(membership, "id").where(F.size(words(F.col("text"))) >= size).select("class").distinct()
-    return member, both.unionByName(long.selectExpr("class as x", "class as y"))
+    return member, both.unionByName(sets.selectExpr("class as x", "class as y"))
 
 
 def overlapping_rows(texts: DataFrame, splits: DataFrame, size: int = 3, similarity: float = 0.6) -> DataFrame:
