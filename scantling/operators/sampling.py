@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scantling.functions.order import portable_key, ranked
 
@@ -40,17 +43,61 @@ def few_shot(pool: DataFrame, by: list[str], ks: list[int], seeds: int, modes: l
     plan = [(k, s) for k in ks for s in range(seeds)]
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k, s in plan)))
     rows = pool.where(F.col("label").isin(0, 1)).select(*by, "sample_id", "label")
-    drawn = rows.withColumn("_g", grid).select(*by, "sample_id", "label", "_g.k", "_g.seed").withColumn("_key", portable_key(F.col("seed"), F.col("k"), F.col("sample_id")))
-    order = ranked(drawn, [*by, "k", "seed", "label"], "_key", "sample_id", "_r")
-    picked = order.where(F.col("_r") <= F.col("k"))
+    every = rows.withColumn("_g", grid).select(*by, "sample_id", "label", "_g.k", "_g.seed")
+    drawn = every.withColumn("_key", portable_key(F.col("seed"), F.col("k"), F.col("sample_id")))
+    w = Window.partitionBy(*by, "k", "seed", "label").orderBy("_key", "sample_id")
+    # the bound of the largest k lets each input partition drop the rest before the shuffle
+    picked = drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(ks)).where(F.col("_r") <= F.col("k")).select(*by, "k", "seed", "sample_id", "label")
     enough = picked.where("label = 1").groupBy(*by, "k", "seed").agg(F.count("*").alias("_n")).where("_n = k").select(*by, "k", "seed")
     parts = []
     if "balanced" in modes:
         parts.append(picked.withColumn("balance_mode", F.lit("balanced")))
     if "imbalanced" in modes:
-        parts.append(order.where(F.col("_r") <= F.col("k")).where("label = 1").unionByName(order.where("label = 0")).withColumn("balance_mode", F.lit("imbalanced")))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return every.join(enough, [*by, "k", "seed"], "left_semi").select(*by, "k", "seed", "balance_mode", "sample_id", "label")
+        parts.append(picked.where("label = 1").unionByName(every.where("label = 0")).withColumn("balance_mode", F.lit("imbalanced")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.join(enough, [*by, "k", "seed"], "left_semi").select(*by, "k", "seed", "balance_mode", "sample_id", "label")
+
+
+def generator_splits(df: DataFrame, by: list[str], seed: int = 42, test_share: float = 0.15, eval_share: float = 0.15) -> DataFrame:
+    """Splits as :func:`class_splits`, drawn by NumPy's generator over the ids in order: the same on every run of NumPy, with ``ord``, the place in the split.
+
+    For results that must agree to the row with draws made so elsewhere; a cell's ids and labels are held by one task.
+    """
+    types = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample_id", ignore_index=True)
+        rng = np.random.default_rng(seed)
+        sides = {c: np.flatnonzero(rows["label"].to_numpy() == c) for c in (1, 0)}
+        for side in sides.values():
+            rng.shuffle(side)
+        taken, left = {}, sides
+        for name, share in (("test", test_share), ("eval", eval_share / max(1e-8, 1 - test_share))):
+            n = int(min(map(len, left.values())) * share)
+            taken[name] = np.concatenate([left[c][:n] for c in (1, 0)])
+            left = {c: x[n:] for c, x in left.items()}
+            rng.shuffle(taken[name])
+        taken["train_pool"] = np.concatenate([left[1], left[0]])
+        rng.shuffle(taken["train_pool"])
+        return pd.concat([rows.iloc[x].assign(split=name, ord=np.arange(len(x))) for name, x in taken.items()])[[*by, "sample_id", "label", "split", "ord"]]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in [*by, "sample_id", "label"]) + ", split string, ord long"
+    return df.select(*by, "sample_id", "label").groupBy(*by).applyInPandas(run, schema)
+
+
+def generator_sample(pool: np.ndarray, labels: np.ndarray, k: int, seed: int, mode: str) -> np.ndarray:
+    """A few-shot sample of row numbers drawn by NumPy's generator from a pool in its order."""
+    rng = np.random.default_rng(seed)
+    up, down = (pool[labels[pool] == c] for c in (1, 0))
+    if k > len(up):
+        raise ValueError(f"{k} positives are wanted, {len(up)} are there")
+    if mode not in ("balanced", "imbalanced"):
+        raise ValueError(f"unknown balance mode {mode!r}")
+    first = rng.choice(up, size=k, replace=False)
+    rest = rng.choice(down, size=min(k, len(down)), replace=False) if mode == "balanced" else down
+    drawn = np.concatenate([first, rest])
+    rng.shuffle(drawn)
+    return drawn
 
 
 def split_counts(splits: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.operators.sampling import bootstrap_rows, class_splits, few_shot, split_counts
+from scantling.operators.sampling import bootstrap_rows, class_splits, few_shot, generator_splits, split_counts
 from scantling.queries import query
 from scantling.session import table
 
@@ -37,6 +37,12 @@ def smp_1(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d)
 
 
+@query("smp_1_generator")
+def smp_1_generator(spark: SparkSession, d: str) -> DataFrame:
+    """The same splits drawn by NumPy's generator."""
+    return generator_splits(base(spark, d).withColumn("cell", F.lit("embeddings")), ["cell"])
+
+
 @query("smp_2", f"with {DRAWN} select id as sample_id, y as label, k, seed, balance_mode from drawn")
 def smp_2(spark: SparkSession, d: str) -> DataFrame:
     return drawn(spark, d)

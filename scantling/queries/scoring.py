@@ -135,11 +135,11 @@ def _runs_of(rows: DataFrame) -> DataFrame:
 _RUN = "concat_ws('__', scorer, 'layer' || layer, 'k' || k, 'seed' || seed, balance_mode)"
 
 
-@query("src_14", f"with {SCORED} select {_RUN} as run_id, split, id as sample_id, y, score from held where k = 5 and seed = 0")
+@query("src_14", f"with {SCORED} select {_RUN} as run_id, split, id as sample_id, y, score from held")
 def src_14(spark: SparkSession, d: str) -> DataFrame:
     """Predictions written and read back."""
     path = scratch(spark, "predictions")
-    store.write_predictions(_runs_of(scored(spark, d).where("k = 5 and seed = 0")), path)
+    store.write_predictions(_runs_of(scored(spark, d)), path)
     return store.read_predictions(spark, path)
 
 
@@ -188,7 +188,7 @@ def met_4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str, metric: str, strict: bool = False) -> DataFrame:
-    rows = _runs_of(scored(spark, d).where("layer < 2 and k = 25 and seed = 0"))
+    rows = _runs_of(scored(spark, d))
     ids = rows.select(F.regexp_replace("run_id", "^P[24]_[a-z_]+?__", "").alias("rest")).distinct()
     pairs = ids.select(F.concat(F.lit("P2_mass_mean__"), "rest").alias("run_id_a"), F.concat(F.lit("P4_cosine__"), "rest").alias("run_id_b"))
     return significance.compare(significance.paired(rows, pairs, "test"), "test", metric, 200, 0, strict)
@@ -286,6 +286,6 @@ def fn_23(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the Mahalanobis scorer as predictions."""
     cell = [F.lit("even").alias("dataset")]
     vecs = layered(spark, d).join(placed(spark, d), "sample_id").select(*cell, "layer", "split", "sample_id", "label", "x")
-    drawn_rows = drawn(spark, d).where("k = 25 and seed = 0").select(*cell, "k", "seed", "balance_mode", "sample_id")
+    drawn_rows = drawn(spark, d).select(*cell, "k", "seed", "balance_mode", "sample_id")
     cells = vecs.select("dataset", "layer").distinct()
     return scorers.predictions(drawn_rows.join(cells, "dataset"), vecs, ["dataset", "layer"], ["P7_mahalanobis"]).withColumn("score", F.round("score", 6))

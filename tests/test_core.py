@@ -115,6 +115,21 @@ def test_few_shot(spark):
     assert sampling.few_shot(df.where("false"), ["cell"], [1], 1, ["balanced"]).count() == 0
 
 
+def test_generator_draws(spark):
+    df = spark.range(100).select(F.lit("c").alias("cell"), F.col("id").alias("sample_id"), F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("label"))
+    got = sampling.generator_splits(df, ["cell"]).toPandas()
+    assert got.groupby("split").size().to_dict() == {"test": 6, "eval": 6, "train_pool": 88} and sorted(got.sample_id) == list(range(100))
+    up = np.arange(0, 100, 4)
+    np.random.default_rng(42).shuffle(up)  # the first draw of the generator
+    assert set(got[(got.split == "test") & (got.label == 1)].sample_id) == set(up[:3])
+    labels = (np.arange(100) % 4 == 0).astype(int)
+    assert labels[sampling.generator_sample(np.arange(100), labels, 5, 1, "balanced")].sum() == 5
+    assert len(sampling.generator_sample(np.arange(100), labels, 5, 1, "imbalanced")) == 80
+    for k, mode in ((26, "balanced"), (1, "odd")):
+        with pytest.raises(ValueError):
+            sampling.generator_sample(np.arange(100), labels, k, 1, mode)
+
+
 def test_ranked_is_a_row_number(spark):
     df = spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id"), portable_key(1, F.col("id") % 50).alias("key"))
     df = df.unionByName(spark.createDataFrame([(None, 1000, "ff")], "g long, id long, key string"))
