@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantling.functions.vectors import cosine, dot, unit
+from scantling.functions.vectors import dot, norm, unit
 from scantling.operators.metrics import auroc, recall_at
 
 Score = Callable[[np.ndarray], np.ndarray]
@@ -196,17 +196,22 @@ def class_means(train: DataFrame, by: list[str], vector: str = "x") -> DataFrame
     return means.groupBy(*by).agg(row.alias("m")).select(*by, F.col("m.u").alias("up"), F.col("m.d").alias("down"))
 
 
-def closed_scores(means: DataFrame, vectors: DataFrame, on: list[str], scorer: str) -> DataFrame:
-    """Adds ``score`` of a closed-form scorer to the vectors of each cell of ``means``, rounded so that engines agree on ties."""
-    joined = vectors.join(means, on)
+def closed_scores(means: DataFrame, vectors: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """``scorer, score`` of closed-form scorers for the vectors of each cell of ``means``, all in one pass, rounded so that engines agree on ties.
+
+    What depends on the means only is computed once a cell, before the join.
+    """
+    if unknown := set(names) - {"P2_mass_mean", "P4_cosine"}:
+        raise ValueError(f"no closed form of {sorted(unknown)}")
+    ready = means.withColumn("_way", F.zip_with("up", "down", lambda a, b: a - b))
+    ready = ready.select(*(c for c in means.columns if c not in ("up", "down")), unit(F.col("_way")).alias("_way"), unit(F.col("up")).alias("_up"), unit(F.col("down")).alias("_down"))
     x = F.col("x")
-    if scorer == "P2_mass_mean":
-        score = dot(x, unit(F.zip_with("up", "down", lambda a, b: a - b)))
-    elif scorer == "P4_cosine":
-        score = cosine(x, F.col("up")) - cosine(x, F.col("down"))
-    else:
-        raise ValueError(f"{scorer} has no closed form")
-    return joined.withColumn("score", F.round(score, 6)).drop("up", "down")
+    length = norm(x)
+    sides = F.when(length > 0, (dot(x, F.col("_up")) - dot(x, F.col("_down"))) / length).otherwise(F.lit(0.0))
+    scores = {"P2_mass_mean": dot(x, F.col("_way")), "P4_cosine": sides}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("scorer"), F.round(scores[n], 6).alias("score")) for n in names))).alias("_s")
+    joined = vectors.join(ready, on).select("*", each)
+    return joined.select("*", "_s.*").drop("_up", "_down", "_way", "_s", "x")
 
 
 RESULT = "k int, seed int, balance_mode string, scorer string, eval_auroc double, eval_recall_at_1pct_fpr double, test_auroc double, test_recall_at_1pct_fpr double, ood_auroc double, ood_recall_at_1pct_fpr double, n_train_pos int, n_train_neg int, wall_clock_s double, error boolean, error_type string"

@@ -50,8 +50,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     train = drawn(spark, d).join(vecs, "sample_id")
     means = scorers.class_means(train, CELLS)
     held = placed(spark, d).where("split <> 'train_pool'").join(vecs, "sample_id")
-    one, two = (scorers.closed_scores(means, held, ["layer"], s).withColumn("scorer", F.lit(s)) for s in CLOSED)
-    return one.unionByName(two).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
+    return scorers.closed_scores(means, held, ["layer"], CLOSED).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
