@@ -9,6 +9,7 @@ numpy; its weights come from :mod:`scantling.llm.pii_train`.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -97,13 +98,24 @@ class Tagger:
         """Best tag sequences (time, rows) under the CRF."""
         steps, rows = codes.shape
         score = self.emissions(codes).reshape(steps, rows, TAGS)
-        trans = self.w["trans"].T[None]  # to, from
+        # a later character of a kind follows a first or later one of that kind only; whatever is outside or first follows anything
+        opens, later, first = np.array([0, *range(1, TAGS, 2)]), np.arange(2, TAGS, 2), np.arange(1, TAGS, 2)
+        to_open = np.ascontiguousarray(self.w["trans"].T[opens])[None]  # to, from
+        stay, enter = self.w["trans"][later, later], self.w["trans"][first, later]
         best = score[0] + self.w["start"]
+        best[:, later] = -1e9
         back = np.empty((steps, rows, TAGS), np.int8)
         for t in range(1, steps):
-            through = best[:, None, :] + trans
-            back[t] = through.argmax(axis=2)
-            best = through.max(axis=2) + score[t]
+            through = best[:, None, :] + to_open
+            begun, held = best[:, first] + enter, best[:, later] + stay
+            newer = begun > held
+            back[t][:, opens] = through.argmax(axis=2)
+            back[t][:, later] = np.where(newer, first, later)
+            now = np.empty_like(best)
+            now[:, opens] = through.max(axis=2)
+            now[:, later] = np.where(newer, begun, held)
+            now += score[t]
+            best = now
         out = np.empty((steps, rows), np.int8)
         out[-1] = best.argmax(axis=1)
         at = np.arange(rows)
@@ -193,14 +205,27 @@ def checked(text: str, spans: list[tuple[int, int, str]], names: Names) -> list[
         met = [e for e in exact if e[0] < high and low < e[1]]
         for e in met:
             out[e[0]] = e
-        if not met and looks(text[low:high], kind):
+        if not met and looks(text[low:high], kind, names):
             out[low] = (low, high, kind)
     return sorted(out.values())
 
 
-def looks(piece: str, kind: str) -> bool:
-    """Least demands on a span that no exact form covers."""
+# Words that open a letter.
+GREETINGS = ("hello", "hi", "hey", "dear", "thanks", "regards", "cheers", "yours")
+
+
+def looks(piece: str, kind: str, names: Names) -> bool:
+    """Least demands on a span that no exact form covers: names that no list has, garbled letters, odd punctuation."""
     n = digits(piece)
+    if kind == "person":
+        parts = [p for p in re.split(r"[\s>|,]+", piece) if p]
+        known = any(p.lower() in names.given or p.lower() in names.family for p in parts)
+        initial = len(parts[0]) == 2 and parts[0][1] == "." if parts else False
+        return n == 0 and len(parts) >= 2 and parts[0].lower() not in GREETINGS and (known or initial) and sum(len(p) >= 4 for p in parts) >= (1 if initial else 2)
+    if kind == "identity":
+        return 6 <= n <= 12 and bool(re.fullmatch(r"[A-Za-z]{0,2}[\d\s-]+[A-Za-z]?", piece.strip()))
+    if kind == "address":
+        return n > 0 and bool(re.match(r"\d+\w?,?\s+\D{4,}|\D{5,}\s\d", piece))
     if kind == "email":
         return "@" in piece and "." in piece.partition("@")[2] and " " not in piece.strip()
     if kind == "phone":

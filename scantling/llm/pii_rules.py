@@ -44,6 +44,21 @@ ADDRESS = re.compile(
 )
 
 
+def branches(names: Iterable[str]) -> str:
+    """A pattern of all the names that shares their beginnings, so that few branches are tried at a place; longer names first."""
+    by_first: dict[str, set[str]] = {}
+    for n in names:
+        by_first.setdefault(n[:1], set()).add(n[1:])
+    parts = []
+    for first, rest in sorted(by_first.items(), reverse=True):
+        if not first:
+            parts.append("")
+            continue
+        inner = branches(rest) if rest != {""} else ""
+        parts.append((W if first == " " else re.escape(first)) + (f"(?:{inner})" if "|" in inner else inner))
+    return "|".join(parts)
+
+
 class Names:
     """Given and family names: those listed, and those built of the same stems and endings."""
 
@@ -51,8 +66,7 @@ class Names:
         listed = [(n, r) for n, r in listed if n and r]
         self.given = self._grown({n.lower() for n, r in listed if r == "given"})
         self.family = self._grown({n.lower() for n, r in listed if r == "family"})
-        given, family = (sorted(x, key=lambda n: (-len(n), n)) or ["\0"] for x in (self.given, self.family))
-        g, f = ("|".join(re.escape(n).replace("\\ ", W) for n in x) for x in (given, family))
+        g, f = (branches(x or {"\0"}) for x in (self.given, self.family))
         first = rf"(?:(?:{g})|[^\W\d_]\.)"
         middle = rf"(?:{W}[^\W\d_]\.)?"
         self.person = re.compile(rf"(?<![\w.@+/-])(?:{first}{middle}{W}(?:{f})|(?:{f}),{W}{first}(?:{W}[^\W\d_]\.)?|(?:{f}){W}(?:{g}))(?![\w@]|[.+-]\w|{W}(?:{COMPANIES}|{STREETS})\b)", re.I)
