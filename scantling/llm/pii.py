@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from scantling.llm.pii_rules import KINDS, Names, digits, found
 
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and later characters of each kind
-WINDOW, MARGIN = 128, 24
-BATCH = 768
+WINDOW, MARGIN = 256, 24
+BATCH = 512
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 OTHER_LETTER, OTHER_SIGN = 1, 2
 
