@@ -267,6 +267,9 @@ def test_word_hashes(spark):
         ("- apples\n- pears and plums\n- a lamp\n- nails", "list"),
         ("1) red lamp\n2) old chair\n3) maps\n4) ink", "list"),
         ("lamp\nchair\nmap\nink,\npaper\nrope", "list"),
+        ("  o red lamp\n  o old chair\n  o maps\n  o ink", "list"),
+        ("They say that every lamp must be lit before the road is used again by you.\n" + "lamp\nchair\nmap,\nink\npaper\nrope\nnail\nglue\nsaw", "list"),
+        ("We went to the market and it was closed, so we came back to the house.\n" * 6 + "- apples\n- pears\n- nails\n" + "Then it was late and we went to bed, as they said in the end.\n" * 4, "prose"),
         ("a\tb\tc\n1\t2\t3\n4\t5\t6\n7\t8\t9", "table"),
         ("| k | v |\n|---|---|\n| 1 | 2.5 |\n| 2 | 3.5 |", "table"),
         ("name=lamp price=3.5\nname=map price=8.25\nname=ink price=1.00", "table"),
@@ -400,6 +403,18 @@ def test_details(spark):
     assert pii.details(df.where("false"), people(spark)).count() == 0
 
 
+def test_names_outside_the_lexicon(spark):
+    names = pii_rules.Names([(r["name"], r["role"]) for r in people(spark).where("name is not null").collect()])
+    text = "Morin O'Brannick called, and Hello Morin is no name."
+    assert pii.checked(text, [(0, 16, "person"), (29, 40, "person")], names) == [(0, 16, "person")]
+    assert pii.checked("D. O'Brannick wrote", [(0, 13, "person")], names) == [(0, 13, "person")]
+    assert pii.checked("the market is", [(4, 10, "person")], names) == []
+    for listed in ([], [("Ann", "given")], [("A", "given"), ("Ab", "family"), ("de Quo", "family")]):
+        assert pii_rules.found("Ann de Quo and A Ab", pii_rules.Names(listed)) is not None
+    branches = re.compile(f"(?:{pii_rules.branches({'ta', 'tarin', 'tab', 'mo', 'de quo'})})$")
+    assert all(branches.match(x) for x in ("ta", "tarin", "tab", "mo", "de quo")) and not branches.match("t") and not branches.match("tari")
+
+
 def test_network_finds_the_exact_forms(spark):
     """Held-out accuracy: what the exact forms label in texts the network wasn't trained on."""
     names = pii_rules.Names([(r["name"], r["role"]) for r in people(spark).where("name is not null").collect()])
