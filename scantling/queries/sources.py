@@ -207,11 +207,11 @@ def prj_9(spark: SparkSession, d: str) -> DataFrame:
     return df.select("sample_id", F.struct(*(c for c in df.columns if c not in ("sample_id", "text", "label"))).alias("metadata")).select("sample_id", "metadata.*")
 
 
-CONFIG = Config(models={"a/b": [8, 16], "gemma-2": [10]}, ood={"enron": "sms", "mask": None}, ks=[1, 5], seeds=2)
+CONFIG = Config(models={"a/b": [8, 16], "c-2": [10]}, ood={"enron": "sms", "mask": None}, ks=[1, 5], seeds=2)
 
 
 GRID_SQL = """
-with m(model, layer) as (values ('a/b', 8), ('a/b', 16), ('gemma-2', 10)), o(dataset, ood_dataset) as (values ('enron', 'sms'), ('mask', null)),
+with m(model, layer) as (values ('a/b', 8), ('a/b', 16), ('c-2', 10)), o(dataset, ood_dataset) as (values ('enron', 'sms'), ('mask', null)),
 s(scorer, mode) as (values ('P1_logistic', 'base'), ('P2_mass_mean', 'base'), ('P3_lda', 'base'), ('P4_cosine', 'base'), ('P6_prompted', 'prompted'), ('P7_mahalanobis', 'base'), ('P8_followup', 'followup')),
 k(k) as (values (1), (5)), b(balance_mode) as (values ('balanced'), ('imbalanced')), e(seed) as (values (0), (1))
 select model, layer, dataset, ood_dataset, scorer, mode, k, balance_mode, seed,
