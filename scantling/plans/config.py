@@ -81,10 +81,11 @@ def grid(spark: SparkSession, config: Config, scorers: list[str] | None = None)
     names = list(REGISTRY) if scorers is None else scorers
     if unknown := set(names) - set(REGISTRY):
         raise ValueError(f"unknown scorers {sorted(unknown)}")
-    models = spark.createDataFrame([(m, layer) for m, layers in config.models.items() for layer in layers], "model string, layer int")
-    datasets = spark.createDataFrame(list(config.ood.items()), "dataset string, ood_dataset string")
-    methods = spark.createDataFrame([(n, REGISTRY[n].mode) for n in names], "scorer string, mode string")
-    draws = spark.createDataFrame([(k, b, s) for k in config.ks for b in config.balance_modes for s in range(config.seeds)], "k int, balance_mode string, seed int")
+    models = spark.createDataFrame([(m, layer) for m, layers in config.models.items() for layer in layers], "model string, layer int").coalesce(1)
+    datasets = spark.createDataFrame(list(config.ood.items()), "dataset string, ood_dataset string").coalesce(1)
+    methods = spark.createDataFrame([(n, REGISTRY[n].mode) for n in names], "scorer string, mode string").coalesce(1)
+    draws = spark.createDataFrame([(k, b, s) for k in config.ks for b in config.balance_modes for s in range(config.seeds)], "k int, balance_mode string, seed int").coalesce(1)
+    # one partition each, else their product would be one of partitions as well
     every = models.crossJoin(datasets).crossJoin(methods).crossJoin(draws)  # dimensions of the configuration, a few rows each
     return every.withColumn("run_id", run_id(*(F.col(c) for c in ("model", "dataset", "scorer", "layer", "k", "seed", "balance_mode"))))
 
