@@ -370,6 +370,30 @@ def test_old_lines(spark):
     assert got == {(2, 6), (2, 7), (2, 8), (2, 9)}
 
 
+def _say(seed):
+    rng = random.Random(seed)
+    return lambda n=9: " ".join(f"w{rng.randrange(5000)}" for _ in range(n)).capitalize() + "."
+
+
+def _removed(spark, mails):
+    """Line numbers by mail of what isn't new; ``mails`` are (id, day, lines)."""
+    import datetime
+
+    rows = [(i, datetime.datetime(2001, 1, 1) + datetime.timedelta(days=d), "\n".join(lines)) for i, d, lines in mails]
+    out: dict[int, list[int]] = {}
+    for i, line in sorted(tuple(r) for r in quotes.old_lines(spark.createDataFrame(rows, "sample_id long, sent_at timestamp, text string")).collect()):
+        out.setdefault(i, []).append(line)
+    return out
+
+
+def test_text_of_a_mail_stored_repeatedly_is_inherited(spark):
+    say = _say(3)
+    original = [say() for _ in range(5)]
+    edited = [*original[:3], say(), original[4]]  # in place
+    mails = [(1, 0, original), (2, 1, original), (3, 2, original), (4, 3, edited), (5, 9, [*(say() for _ in range(6)), *original])]
+    assert _removed(spark, mails) == {5: [7, 8, 9, 10, 11]}
+
+
 def test_sentence_tables_guarantee_the_radius(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(-(2**63), 2**63 - 1, 50, np.int64)
