@@ -394,6 +394,13 @@ def test_text_of_a_mail_stored_repeatedly_is_inherited(spark):
     assert _removed(spark, mails) == {5: [7, 8, 9, 10, 11]}
 
 
+def test_boilerplate_of_few_mails_among_many(spark):
+    say = _say(4)
+    notice = say(12)
+    mails = [(i, i % 900, [say(), say(), notice] if i % 1500 == 7 else [say()]) for i in range(6000)]
+    assert _removed(spark, mails) == {i: [3] for i in range(7, 6000, 1500)}
+
+
 def test_sentence_tables_guarantee_the_radius(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(-(2**63), 2**63 - 1, 50, np.int64)
