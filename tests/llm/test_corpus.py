@@ -401,6 +401,15 @@ def test_boilerplate_of_few_mails_among_many(spark):
     assert _removed(spark, mails) == {i: [3] for i in range(7, 6000, 1500)}
 
 
+def test_old_text_below_above_and_between_new_text(spark):
+    say = _say(5)
+    original = [say() for _ in range(6)]
+    between = [original[0], original[1], "", say(), say(), "", original[2], original[3], "", say(), "", *original[4:]]
+    mails = [(1, 0, original), (2, 1, ["Agreed, see below.", "", *original]), (3, 2, [*original, "", say(), say(), say()]), (4, 3, between), (5, 4, original)]
+    got = _removed(spark, mails)
+    assert got == {2: [3, 4, 5, 6, 7, 8], 3: [1, 2, 3, 4, 5, 6], 4: [1, 2, 7, 8, 12, 13]}
+
+
 def test_sentence_tables_guarantee_the_radius(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(-(2**63), 2**63 - 1, 50, np.int64)
