@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dataset")
         if name in ("extract", "all"):
             p.add_argument("--source", action="append", default=[], metavar="DATASET=PATH")
-            p.add_argument("--mode", choices=[*pipeline.MODES, "all"], default="all")
+            p.add_argument("--mode", choices=["standard", *pipeline.MODES, "all"], default="all", help="standard is another name of base")
             p.add_argument("--skip-filtering", action="store_true")
             p.add_argument("--overwrite", action="store_true")
         if name == "sweep":
@@ -42,12 +42,11 @@ def main(argv: list[str] | None = None) -> None:
     config = conf.narrowed(config, getattr(args, "model", None), getattr(args, "dataset", None))
     spark = SparkSession.builder.appName("scantling").getOrCreate()
     if args.command in ("extract", "all"):
-        modes = pipeline.MODES if args.mode == "all" else (args.mode,)
+        modes = pipeline.MODES if args.mode == "all" else ("base" if args.mode == "standard" else args.mode,)
         for name, path in (x.split("=", 1) for x in args.source):
-            rows = texts.read_any(spark, path)
-            given = (texts.honesty(rows) if name == "mask" else texts.spam(rows, name)).select("sample_id", "text", "label")
+            given = texts.load(spark, name, path).select("sample_id", "text", "label")
             for model in config.models:
-                pipeline.extract(spark, config, model, name, given, modes, args.skip_filtering)
+                pipeline.extract(spark, config, model, name, given, modes, args.skip_filtering, overwrite=args.overwrite)
     if args.command in ("sweep", "all"):
         pipeline.sweep(spark, config, getattr(args, "scorers", None))
     if args.command in ("analyze", "plotdata", "all"):

@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def ranking_metrics(scores: DataFrame, by: list[str], max_fpr: float = 0.01) -> DataFrame:
+def ranking_metrics(scores: DataFrame, by: list[str], max_fpr: float = 0.01, times: Column | int = 1) -> DataFrame:
     """``by, n, n_pos, auroc, recall`` of rows ``by, y, score``; metrics are null where a group has one class only.
 
     Scores are first counted by value, so that windows run over distinct scores. Recall is the highest true positive rate at a
     false positive rate of at most ``max_fpr`` among the corners of the curve: points on a straight
-    line between their neighbours don't count, the origin does.
+    line between their neighbours don't count, the origin does. ``times`` is how often each row counts.
     """
-    tied = scores.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    many = times if isinstance(times, Column) else F.lit(times)
+    side = lambda y: F.sum(F.when(F.col("y") == y, many).otherwise(0))
+    tied = scores.groupBy(*by, "score").agg(side(1).alias("p"), side(0).alias("q"))
     down = Window.partitionBy(*by).orderBy(F.col("score").desc())
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,83 +19,54 @@ def class_splits(df: DataFrame, by: list[str], seed: int = 42, test_share: float
 
     Sizes are truncated products of doubles with the smaller class; what test took counts as gone for eval.
     """
+    if test_share < 0 or eval_share < 0 or test_share + eval_share > 1 or test_share == 1:
+        raise ValueError("shares must leave room for each other")
     rows = df.where(F.col("label").isin(0, 1)).withColumn("_key", portable_key(seed, F.col("sample_id")))
     order = ranked(rows, [*by, "label"], "_key", "sample_id", "_r")
     counts = rows.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q")) if by else rows.agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q"))
     small = F.least("_p", "_q")
-    sizes = counts.withColumn("_test", F.floor(small * F.lit(float(test_share)))).withColumn("_eval", F.floor((small - F.col("_test")) * F.lit(float(eval_share) / max(1e-8, 1 - float(test_share)))))
+    sizes = counts.withColumn("_test", F.floor(small * F.lit(float(test_share)))).withColumn("_eval", F.floor((small - F.col("_test")) * F.lit(float(eval_share) / (1 - float(test_share)))))
     joined = order.join(F.broadcast(sizes), by) if by else order.crossJoin(F.broadcast(sizes))  # one row a cell
     split = F.when(F.col("_r") <= F.col("_test"), "test").when(F.col("_r") <= F.col("_test") + F.col("_eval"), "eval").otherwise("train_pool")
     return joined.withColumn("split", split).drop("_key", "_r", "_p", "_q", "_test", "_eval")
 
 
-def few_shot(pool: DataFrame, by: list[str], ks: list[int], seeds: int, modes: list[str]) -> DataFrame:
-    """``by, k, seed, balance_mode, sample_id, label``: k positives and, balanced, as many negatives at most, or all negatives.
+def draws(pool: DataFrame, by: list[str], ks: list[int], seeds: int) -> DataFrame:
+    """``by, k, seed, sample_id, label``: k positives and as many negatives, or all if there are fewer, for every k and seed.
 
     A cell with fewer than k positives has no sample of that k. Draws depend on the pool, k and seed only, so that every
-    layer and scorer shares them.
+    layer, scorer and balance mode shares them.
     """
-    unknown = set(modes) - {"balanced", "imbalanced"}
-    if unknown:
-        raise ValueError(f"unknown balance modes {sorted(unknown)}")
-    plan = [(k, s) for k in ks for s in range(seeds)]
-    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k, s in plan)))
+    plan = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k in ks for s in range(seeds))))
     rows = pool.where(F.col("label").isin(0, 1)).select(*by, "sample_id", "label")
-    every = rows.withColumn("_g", grid).select(*by, "sample_id", "label", "_g.k", "_g.seed")
-    drawn = every.withColumn("_key", portable_key(F.col("seed"), F.col("k"), F.col("sample_id")))
+    keyed = rows.withColumn("_g", plan).select(*by, "sample_id", "label", "_g.k", "_g.seed").withColumn("_key", portable_key(F.col("seed"), F.col("k"), F.col("sample_id")))
     w = Window.partitionBy(*by, "k", "seed", "label").orderBy("_key", "sample_id")
     # the bound of the largest k lets each input partition drop the rest before the shuffle
-    picked = drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(ks)).where(F.col("_r") <= F.col("k")).select(*by, "k", "seed", "sample_id", "label")
-    enough = picked.where("label = 1").groupBy(*by, "k", "seed").agg(F.count("*").alias("_n")).where("_n = k").select(*by, "k", "seed")
-    parts = []
-    if "balanced" in modes:
-        parts.append(picked.withColumn("balance_mode", F.lit("balanced")))
-    if "imbalanced" in modes:
-        parts.append(picked.where("label = 1").unionByName(every.where("label = 0")).withColumn("balance_mode", F.lit("imbalanced")))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.join(enough, [*by, "k", "seed"], "left_semi").select(*by, "k", "seed", "balance_mode", "sample_id", "label")
+    picked = keyed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(ks)).where(F.col("_r") <= F.col("k"))
+    whole = picked.withColumn("_n", F.count_if(F.col("label") == 1).over(Window.partitionBy(*by, "k", "seed")))  # 2 k rows at most
+    return whole.where("_n = k").select(*by, "k", "seed", "sample_id", "label")
 
 
-def generator_splits(df: DataFrame, by: list[str], seed: int = 42, test_share: float = 0.15, eval_share: float = 0.15) -> DataFrame:
-    """Splits as :func:`class_splits`, drawn by NumPy's generator over the ids in order: the same on every run of NumPy, with ``ord``, the place in the split.
+def few_shot(pool: DataFrame, by: list[str], ks: list[int], seeds: int, modes: list[str]) -> DataFrame:
+    """``by, k, seed, balance_mode, sample_id, label``: the samples of :func:`draws` row by row; imbalanced ones hold all negatives of the pool.
 
-    For results that must agree to the row with draws made so elsewhere; a cell's ids and labels are held by one task.
+    The pipeline never lists imbalanced samples so: it keeps the drawn positives and takes the negatives from the pool.
     """
-    types = dict(df.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample_id", ignore_index=True)
-        rng = np.random.default_rng(seed)
-        sides = {c: np.flatnonzero(rows["label"].to_numpy() == c) for c in (1, 0)}
-        for side in sides.values():
-            rng.shuffle(side)
-        taken, left = {}, sides
-        for name, share in (("test", test_share), ("eval", eval_share / max(1e-8, 1 - test_share))):
-            n = int(min(map(len, left.values())) * share)
-            taken[name] = np.concatenate([left[c][:n] for c in (1, 0)])
-            left = {c: x[n:] for c, x in left.items()}
-            rng.shuffle(taken[name])
-        taken["train_pool"] = np.concatenate([left[1], left[0]])
-        rng.shuffle(taken["train_pool"])
-        return pd.concat([rows.iloc[x].assign(split=name, ord=np.arange(len(x))) for name, x in taken.items()])[[*by, "sample_id", "label", "split", "ord"]]
-
-    schema = ", ".join(f"{c} {types[c]}" for c in [*by, "sample_id", "label"]) + ", split string, ord long"
-    return df.select(*by, "sample_id", "label").groupBy(*by).applyInPandas(run, schema)
-
-
-def generator_sample(pool: np.ndarray, labels: np.ndarray, k: int, seed: int, mode: str) -> np.ndarray:
-    """A few-shot sample of row numbers drawn by NumPy's generator from a pool in its order."""
-    rng = np.random.default_rng(seed)
-    up, down = (pool[labels[pool] == c] for c in (1, 0))
-    if k > len(up):
-        raise ValueError(f"{k} positives are wanted, {len(up)} are there")
-    if mode not in ("balanced", "imbalanced"):
-        raise ValueError(f"unknown balance mode {mode!r}")
-    first = rng.choice(up, size=k, replace=False)
-    rest = rng.choice(down, size=min(k, len(down)), replace=False) if mode == "balanced" else down
-    drawn = np.concatenate([first, rest])
-    rng.shuffle(drawn)
-    return drawn
+    unknown = set(modes) - {"balanced", "imbalanced"}
+    if unknown:
+        raise ValueError(f"unknown balance modes {sorted(unknown)}")
+    drawn = draws(pool, by, ks, seeds)
+    parts = []
+    if "balanced" in modes:
+        parts.append(drawn.withColumn("balance_mode", F.lit("balanced")))
+    if "imbalanced" in modes:
+        up = drawn.where("label = 1")
+        cells = up.groupBy(*by, "k", "seed").agg(F.lit(0).alias("_one")).drop("_one")
+        down = pool.where("label = 0").select(*by, "sample_id", "label")
+        every = down.join(F.broadcast(cells), by) if by else down.crossJoin(F.broadcast(cells))  # a row for each k and seed
+        parts.append(up.unionByName(every).withColumn("balance_mode", F.lit("imbalanced")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.select(*by, "k", "seed", "balance_mode", "sample_id", "label")
 
 
 def split_counts(splits: DataFrame, by: list[str]) -> DataFrame:
@@ -111,8 +80,8 @@ def split_counts(splits: DataFrame, by: list[str]) -> DataFrame:
     return splits.groupBy(*by).agg(*counts)
 
 
-def bootstrap_rows(n: int, draws: int, spark) -> DataFrame:
-    """``b, i, row``: for each draw b, n row numbers from 0 with replacement, by hash."""
-    cells = spark.range(draws).select(F.col("id").alias("b")).crossJoin(spark.range(n).select(F.col("id").alias("i")))
+def bootstrap_weights(n: int, draws: int, spark: SparkSession) -> DataFrame:
+    """``b, row, times``: how often draw b, of n row numbers from 0 with replacement by hash, takes each row; rows not taken are left out."""
+    cells = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "i")), 1, 8), 16, 10).cast("long")
-    return cells.withColumn("row", number % n)
+    return cells.withColumn("row", number % n).groupBy("b", "row").agg(F.count("*").alias("times"))

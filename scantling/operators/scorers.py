@@ -7,12 +7,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scantling.functions.vectors import dot, norm, unit
-from scantling.operators.metrics import auroc, recall_at
+from scantling.operators.metrics import ranking_metrics
 
 Score = Callable[[np.ndarray], np.ndarray]
 
@@ -72,6 +77,28 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100, to
     return lambda v: 0.5 * (1 + np.tanh(0.5 * (v @ coef + w[-1])))
 
 
+def sparse_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 20_000, tol: float = 1e-7) -> Score:
+    """L1 logistic regression with a free intercept: the log-loss times ``c`` plus the sum of absolute coefficients, by accelerated proximal steps."""
+    if len(np.unique(y)) < 2:
+        raise ValueError("both classes are needed")
+    one, t = np.hstack([x, np.ones((len(x), 1))]), (y == 1).astype(float)
+    step = 4.0 / (c * np.linalg.norm(one, 2) ** 2 + 1e-12)
+    w = v = np.zeros(one.shape[1])
+    pace = 1.0
+    for _ in range(rounds):
+        p = 0.5 * (1 + np.tanh(0.5 * (one @ v)))
+        u = v - step * c * (one.T @ (p - t))
+        u[:-1] = np.sign(u[:-1]) * np.maximum(np.abs(u[:-1]) - step, 0)
+        after = 0.5 * (1 + np.sqrt(1 + 4 * pace * pace))
+        if (v - u) @ (u - w) > 0:  # it overshot: start anew from here
+            after = 1.0
+        v, moved = u + (pace - 1) / after * (u - w) * (after > 1), np.abs(u - w).max()
+        w, pace = u, after
+        if moved < tol * max(1.0, np.abs(w).max()) * min(1.0, step):
+            break
+    return lambda z: 0.5 * (1 + np.tanh(0.5 * (z @ w[:-1] + w[-1])))
+
+
 def shrinkage(x: np.ndarray) -> tuple[float, float]:
     """Ledoit-Wolf shrinkage of centred rows, and the mean variance it shrinks to; from n x n products when rows are few."""
     n, d = x.shape
@@ -144,7 +171,7 @@ def mahalanobis(x: np.ndarray, y: np.ndarray) -> Score:
 
 
 def sparse_features(encode: Callable[[np.ndarray], np.ndarray], width: int, k: int = 64, batch: int = 256) -> Callable[[np.ndarray, np.ndarray], Score]:
-    """A logistic scorer on the ``k`` features of an external sparse encoder whose class means differ most; ties go to the lower index."""
+    """An L1 logistic scorer on the ``k`` features of an external sparse encoder whose class means differ most; ties go to the lower index."""
 
     def fit(x: np.ndarray, y: np.ndarray) -> Score:
         if encode is None:
@@ -154,7 +181,7 @@ def sparse_features(encode: Callable[[np.ndarray], np.ndarray], width: int, k: i
         run = lambda v: np.concatenate([encode(v[i : i + batch]) for i in range(0, len(v), batch)])
         z = run(x)
         keep = np.argsort(-np.abs(z[y == 1].mean(0) - z[y == 0].mean(0)), kind="stable")[:k]
-        inner = logistic(z[:, keep], y)
+        inner = sparse_logistic(z[:, keep], y)
         return lambda v: inner(run(v)[:, keep])
 
     return fit
@@ -189,11 +216,26 @@ def register(scorer: Scorer) -> None:
 
 
 def class_means(train: DataFrame, by: list[str], vector: str = "x") -> DataFrame:
-    """``by, up, down``: mean vectors of labels 1 and 0, computed by place."""
-    places = train.select(*by, "label", F.posexplode(vector).alias("i", "v"))
-    means = places.groupBy(*by, "i").agg(F.avg(F.when(F.col("label") == 1, F.col("v").cast("double"))).alias("u"), F.avg(F.when(F.col("label") == 0, F.col("v").cast("double"))).alias("d"))
-    row = F.array_sort(F.collect_list(F.struct("i", "u", "d")))  # one entry a dimension
-    return means.groupBy(*by).agg(row.alias("m")).select(*by, F.col("m.u").alias("up"), F.col("m.d").alias("down"))
+    """``by, up, down``: mean vectors of labels 1 and 0; each task sums its vectors first."""
+    rows = train.where(F.col(vector).isNotNull()).select(*by, "label", array_to_vector(vector).alias("_v"))
+    means = rows.where(F.col("label").isin(0, 1)).groupBy(*by, "label").agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    side = lambda label: F.max(F.when(F.col("label") == label, vector_to_array("_m")))
+    return means.groupBy(*by).agg(side(1).alias("up"), side(0).alias("down"))
+
+
+def sample_means(drawn: DataFrame, pool: DataFrame, by: list[str], cell: list[str], modes: list[str]) -> DataFrame:
+    """``by, cell, k, seed, balance_mode, up, down``: class means of every few-shot sample over the vectors of ``pool`` (by, cell, sample_id, label, x).
+
+    ``drawn`` is of :func:`scantling.operators.sampling.draws`. All negatives of a cell are averaged once, whatever the number of samples.
+    """
+    own = class_means(drawn.join(pool.drop("label"), [*by, "sample_id"]), [*by, *cell, "k", "seed"])
+    parts = []
+    if "balanced" in modes:
+        parts.append(own.withColumn("balance_mode", F.lit("balanced")))
+    if "imbalanced" in modes:
+        every = class_means(pool.where("label = 0"), [*by, *cell]).select(*by, *cell, F.col("down").alias("_all"))
+        parts.append(own.join(F.broadcast(every), [*by, *cell]).withColumn("down", F.col("_all")).drop("_all").withColumn("balance_mode", F.lit("imbalanced")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def closed_scores(means: DataFrame, vectors: DataFrame, on: list[str], names: list[str]) -> DataFrame:
@@ -214,88 +256,114 @@ def closed_scores(means: DataFrame, vectors: DataFrame, on: list[str], names: li
     return joined.select("*", "_s.*").drop("_up", "_down", "_way", "_s", "x")
 
 
-RESULT = "k int, seed int, balance_mode string, scorer string, eval_auroc double, eval_recall_at_1pct_fpr double, test_auroc double, test_recall_at_1pct_fpr double, ood_auroc double, ood_recall_at_1pct_fpr double, n_train_pos int, n_train_neg int, wall_clock_s double, error boolean, error_type string"
-
-
-def one_run(scorer: Scorer, x: np.ndarray, y: np.ndarray, held: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
-    """Fit, score and measure; any failure gives an error row without metrics."""
-    began = time.perf_counter()
-    row: dict = {f"{s}_{m}": None for s in ("eval", "test", "ood") for m in ("auroc", "recall_at_1pct_fpr")}
-    row |= {"n_train_pos": int((y == 1).sum()), "n_train_neg": int((y == 0).sum()), "error": False, "error_type": None}
-    try:
-        score = scorer.fit(x, y)
-        for split in ("eval", "test"):
-            v, t = held[split]
-            s = score(v) if len(v) else np.zeros(0)
-            row[f"{split}_auroc"], row[f"{split}_recall_at_1pct_fpr"] = auroc(t, s), recall_at(t, s)
-        row["wall_clock_s"] = time.perf_counter() - began
-        if "ood" in held and len(held["ood"][0]):
-            v, t = held["ood"]
-            s = score(v)
-            row["ood_auroc"], row["ood_recall_at_1pct_fpr"] = auroc(t, s), recall_at(t, s)
-    except Exception as e:  # noqa: BLE001
-        row |= {"error": True, "error_type": type(e).__name__}
-        row |= {k: None for k in row if k.endswith(("auroc", "fpr"))}
-    row["wall_clock_s"] = row.get("wall_clock_s", time.perf_counter() - began)
-    return {k: None if isinstance(v, float) and np.isnan(v) else v for k, v in row.items()}
-
-
-def _cells(drawn: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
-    """Vectors, labels, splits and ids of a cell, and (k, seed, balance mode, training rows) of its samples; a row with NaN is zero."""
-    x = np.stack(rows["x"].to_numpy()).astype(float)
-    x[np.isnan(x).any(axis=1)] = 0.0
-    y, split, ids = rows["label"].to_numpy(), rows["split"].to_numpy(), rows["sample_id"].to_numpy()
-    place = {int(i): k for k, i in enumerate(ids) if split[k] == "train_pool"}
-    drawn = drawn.sort_values("sample_id")
-    samples = [(*key, [place[i] for i in g["sample_id"] if i in place]) for key, g in drawn.groupby(["k", "seed", "balance_mode"])]
-    return x, y, split, ids, samples
-
-
-def _per_cell(samples: DataFrame, vectors: DataFrame, cell: list[str], schema: str, each: Callable[[pd.DataFrame, pd.DataFrame], list[dict]]) -> DataFrame:
-    types = dict(samples.dtypes)
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(key: tuple, drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        frame = pd.DataFrame(each(drawn, rows) if len(drawn) and len(rows) else [], columns=names)
-        for c, v in reversed(list(zip(cell, key))):
-            frame.insert(0, c, v)
-        return frame
-
-    vectors = vectors.toDF(*vectors.columns)  # columns of its own, should both sides come from one table
-    return samples.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cell) + ", " + schema)
-
-
-def fitted_runs(samples: DataFrame, vectors: DataFrame, cell: list[str], scorers: list[str]) -> DataFrame:
-    """A result row for every (cell, k, seed, balance mode, scorer).
-
-    ``samples``: cell, k, seed, balance_mode, sample_id; ``vectors``: cell, split (train_pool, eval, test or ood), sample_id, label,
-    x. A task holds the vectors of one cell, shared by all its runs; a cell is what one folder of the vector store holds.
-    """
-    chosen = [REGISTRY[s] for s in scorers]
+FITTED = "run_id string, scorer string, k int, seed int, balance_mode string, n_train_pos int, n_train_neg int, fit_s double, error boolean, error_type string, packed binary"
+SCORED = "run_id string, split string, sample_id long, y int, score double"
+#: Rows that one task scores at a time; a cell of more is scored by several tasks.
+ROWS_PER_TASK = 20_000
 
-    def each(drawn: pd.DataFrame, rows: pd.DataFrame) -> list[dict]:
-        x, y, split, _, picked = _cells(drawn, rows)
-        held = {s: (x[split == s], y[split == s]) for s in ("eval", "test", "ood")}
-        return [{"k": k, "seed": seed, "balance_mode": mode, "scorer": s.name} | one_run(s, x[at], y[at], held) for k, seed, mode, at in picked for s in chosen]
 
-    return _per_cell(samples, vectors, cell, RESULT, each)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    flat = column.combine_chunks()
+    values = flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() : flat.offsets[-1].as_py()]
+    return values.reshape(len(flat), -1).astype(float)
 
 
-def predictions(samples: DataFrame, vectors: DataFrame, cell: list[str], scorers: list[str]) -> DataFrame:
-    """Scores of every run on the rows outside the train pool: cell, k, seed, balance_mode, scorer, split, sample_id, y, score. Runs that can't be fitted have none."""
-    chosen = [REGISTRY[s] for s in scorers]
+def wanted(cells: DataFrame, scorers: list[str], ks: list[int], seeds: int, modes: list[str]) -> DataFrame:
+    """All runs over the cells ``model, dataset, mode, layer`` that there are: cell, scorer, k, seed, balance_mode."""
+    plan = [(s, REGISTRY[s].mode, k, seed, b) for s in scorers for k in ks for seed in range(seeds) for b in modes]
+    names = ("scorer", "_mode", "k", "seed", "balance_mode")
+    runs = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p))) for p in plan))).alias("_p")
+    return cells.select("*", runs).select(*cells.columns, "_p.*").where("mode = _mode").drop("_mode")
 
-    def each(drawn: pd.DataFrame, rows: pd.DataFrame) -> list[dict]:
-        x, y, split, ids, picked = _cells(drawn, rows)
-        at_hand = np.flatnonzero(split != "train_pool")
+
+def fitted(specs: DataFrame, train: DataFrame, cell: list[str]) -> DataFrame:
+    """The fitted scorer of every row of ``specs`` (cell, run_id, scorer, k, seed, balance_mode, ids): cell and FITTED.
+
+    ``ids`` are the drawn rows, at most 2 k; imbalanced runs take the negatives of ``train`` (cell, sample_id, label, x) besides. A task
+    holds the rows that the balanced runs of a cell and seed drew, or the drawn positives and all negatives of a cell's train pool.
+    A fit that fails gives an error row without a model.
+    """
+    group = [*cell, "balance_mode", "_part"]
+    specs = specs.withColumn("_part", F.when(F.col("balance_mode") == "balanced", F.col("seed")).otherwise(-1))
+    drawn = specs.select(*group, F.explode("ids").alias("sample_id")).distinct()
+    picked = train.join(drawn, [*cell, "sample_id"])
+    uneven = specs.where("balance_mode = 'imbalanced'").select(*group).distinct()
+    picked = picked.unionByName(train.where("label = 0").join(uneven, cell))
+    picked = picked.select(*group, "sample_id", "label", "x").toDF(*group, "sample_id", "label", "x")  # columns of its own
+    registry = dict(REGISTRY)
+
+    def run(key: tuple, runs: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
-        for k, seed, mode, at in picked:
-            for s in chosen:
+        if runs.num_rows and rows.num_rows:
+            x, y = matrix(rows["x"]), rows["label"].to_numpy()
+            place = {v: i for i, v in enumerate(rows["sample_id"].to_pylist())}
+            down = np.flatnonzero(y == 0)
+            for r in runs.to_pylist():
+                own = [place[i] for i in sorted(r["ids"]) if i in place]
+                at = np.array(own if r["balance_mode"] == "balanced" else [*(i for i in own if y[i] == 1), *down], int)
+                made = {c: r[c] for c in ("run_id", "scorer", "k", "seed", "balance_mode")}
+                made |= {"n_train_pos": int((y[at] == 1).sum()), "n_train_neg": int((y[at] == 0).sum()), "error": False, "error_type": None, "packed": None}
+                began = time.perf_counter()
                 try:
-                    score = s.fit(x[at], y[at])(x[at_hand])
-                except Exception:  # noqa: BLE001, S112
-                    continue
-                out += [{"k": k, "seed": seed, "balance_mode": mode, "scorer": s.name, "split": split[i], "sample_id": ids[i], "y": y[i], "score": v} for i, v in zip(at_hand, score)]
-        return out
+                    made["packed"] = cloudpickle.dumps(registry[r["scorer"]].fit(x[at], y[at]))
+                except Exception as e:  # noqa: BLE001
+                    made |= {"error": True, "error_type": type(e).__name__}
+                made["fit_s"] = time.perf_counter() - began
+                out.append(dict(zip(cell, (k.as_py() for k in key))) | made)
+        return pa.Table.from_pylist(out, schema=shape)
+
+    types = dict(specs.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in cell) + ", " + FITTED
+    shape = arrow_schema(schema)
+    columns = [*group, "run_id", "scorer", "k", "seed", "ids"]
+    return specs.select(*columns).groupBy(*cell, "balance_mode", "_part").cogroup(picked.groupBy(*group)).applyInArrow(run, schema)
+
 
-    return _per_cell(samples, vectors, cell, "k int, seed int, balance_mode string, scorer string, split string, sample_id long, y int, score double", each)
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def scored(models: DataFrame, held: DataFrame, cell: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Scores of all fitted models of a cell for its rows ``held`` (cell, split, sample_id, label, x): SCORED.
+
+    Each task scores a bounded number of rows, by hash of their ids, with all models of the cell. For each run and task there is a row
+    of split ``_seconds`` besides, with the time that eval and test took.
+    """
+    sizes = held.groupBy(*cell).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("_n"))
+    given = models.where("not error").select(*cell, "run_id", "packed").join(sizes, cell).select(*cell, "run_id", "packed", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_at"))
+    parted = held.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("sample_id"), F.col("_n")).cast("int").alias("_at"), "split", "sample_id", "label", "x")
+    shape = arrow_schema(SCORED)
+
+    def run(key: tuple, runs: pa.Table, rows: pa.Table) -> pa.Table:
+        if not runs.num_rows or not rows.num_rows:
+            return shape.empty_table()
+        x, split = matrix(rows["x"]), rows["split"].to_numpy(zero_copy_only=False)
+        timed, rest = np.flatnonzero(split != "ood"), np.flatnonzero(split == "ood")
+        order = np.concatenate([timed, rest])
+        fixed = [c.combine_chunks().take(pa.array(order)) for c in (rows["split"], rows["sample_id"], rows["label"])]
+        out = []
+        for name, packed in zip(runs["run_id"].to_pylist(), runs["packed"].to_pylist()):
+            score = cloudpickle.loads(packed)
+            began = time.perf_counter()
+            s = score(x[timed]) if len(timed) else np.zeros(0)
+            spent = time.perf_counter() - began
+            s = np.concatenate([s, score(x[rest]) if len(rest) else np.zeros(0)])
+            out.append(pa.Table.from_arrays([pa.array([name] * len(s), pa.string()), *fixed, pa.array(s, pa.float64())], schema=shape))
+            out.append(pa.Table.from_pylist([{"run_id": name, "split": "_seconds", "sample_id": None, "y": None, "score": spent}], schema=shape))
+        return pa.concat_tables(out)
+
+    group = [*cell, "_at"]
+    parted = parted.toDF(*parted.columns)  # columns of its own
+    return given.groupBy(*group).cogroup(parted.groupBy(*group)).applyInArrow(run, SCORED)
+
+
+def result_rows(models: DataFrame, scores: DataFrame) -> DataFrame:
+    """Result rows of fitted models and the scores of all their runs; metrics are null where a run failed, has no rows or one class only."""
+    curves = ranking_metrics(scores.where("split <> '_seconds'"), ["run_id", "split"])
+    one = lambda split, name: F.max(F.when(F.col("split") == split, F.col(name)))
+    named = {f"{s}_{m}": one(s, c) for s in ("eval", "test", "ood") for m, c in (("auroc", "auroc"), ("recall_at_1pct_fpr", "recall"))}
+    wide = curves.groupBy("run_id").agg(*(c.alias(n) for n, c in named.items()))
+    spent = scores.where("split = '_seconds'").groupBy("run_id").agg(F.sum("score").alias("_score_s"))
+    rows = models.drop("packed").join(wide, "run_id", "left").join(spent, "run_id", "left")
+    return rows.withColumn("wall_clock_s", F.col("fit_s") + F.coalesce("_score_s", F.lit(0.0))).drop("fit_s", "_score_s")

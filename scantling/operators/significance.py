@@ -32,7 +32,9 @@ def top_scorer_pairs(best: DataFrame) -> DataFrame:
 
 def paired(predictions: DataFrame, pairs: DataFrame, split: str) -> DataFrame:
     """``run_id_a, run_id_b, sample_id, y_a, y_b, a, b``: predictions of both runs side by side, rows of one run only included."""
-    rows = predictions.where(F.col("split") == split)
+    ids = pairs.select(F.explode(F.array("run_id_a", "run_id_b")).alias("run_id")).distinct()
+    # a sweep that was stopped and taken up again may have written rows twice
+    rows = predictions.where(F.col("split") == split).join(ids, "run_id", "left_semi").dropDuplicates(["run_id", "sample_id"])
     a = pairs.select("run_id_a", "run_id_b").join(rows.selectExpr("run_id as run_id_a", "sample_id", "y as y_a", "score as a"), "run_id_a")
     b = pairs.select("run_id_a", "run_id_b").join(rows.selectExpr("run_id as run_id_b", "sample_id", "y as y_b", "score as b"), "run_id_b")
     return a.join(b, ["run_id_a", "run_id_b", "sample_id"], "full")

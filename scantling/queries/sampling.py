@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantling.operators.sampling import bootstrap_rows, class_splits, few_shot, generator_splits, split_counts
+from scantling.functions.order import portable_key, ranked
+from scantling.operators.sampling import bootstrap_weights, class_splits, draws, few_shot, split_counts
 from scantling.queries import query
 from scantling.session import table
 
@@ -28,8 +29,12 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     return class_splits(base(spark, d), [])
 
 
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    return placed(spark, d).where("split = 'train_pool'")
+
+
 def drawn(spark: SparkSession, d: str) -> DataFrame:
-    return few_shot(placed(spark, d).where("split = 'train_pool'"), [], KS, SEEDS, MODES)
+    return few_shot(pool(spark, d), [], KS, SEEDS, MODES)
 
 
 @query("smp_1", f"with {PLACED} select id as sample_id, y as label, split from placed")
@@ -37,26 +42,30 @@ def smp_1(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d)
 
 
-@query("smp_1_generator")
-def smp_1_generator(spark: SparkSession, d: str) -> DataFrame:
-    """The same splits drawn by NumPy's generator."""
-    return generator_splits(base(spark, d).withColumn("cell", F.lit("embeddings")), ["cell"])
-
-
 @query("smp_2", f"with {DRAWN} select id as sample_id, y as label, k, seed, balance_mode from drawn")
 def smp_2(spark: SparkSession, d: str) -> DataFrame:
     return drawn(spark, d)
 
 
-@query("smp_3", "select b, i, cast('0x' || substr(md5(b || '|' || i), 1, 8) as bigint) % 100 as row from range(20) x(b), range(100) y(i)")
+DRAWS = 2000
+HELD = f"""held_rows as (select id, row_number() over (order by id) - 1 as spot from placed where split = 'test'), size as (select count(*) as n from held_rows),
+weights as (select b, spot, count(*) as times from (select b, cast('0x' || substr(md5(b || '|' || i), 1, 8) as bigint) % n as spot from size, range({DRAWS}) x(b), range((select n from size)) y(i)) group by all)"""
+
+
+def resampled(spark: SparkSession, d: str) -> DataFrame:
+    """``b, sample_id, times``: the configured number of bootstrap draws over the test split."""
+    ids = placed(spark, d).where("split = 'test'").select("sample_id", F.lit("0").alias("key"))
+    spots = ranked(ids.withColumn("key", F.lpad(F.hex("sample_id"), 16, "0")), [], "key", "sample_id", "r", 13).select("sample_id", (F.col("r") - 1).alias("row"))
+    return bootstrap_weights(spots.count(), DRAWS, spark).join(spots, "row").select("b", "sample_id", "times")
+
+
+@query("smp_3", f"with {PLACED}, {HELD} select b, id as sample_id, times from weights join held_rows using (spot)")
 def smp_3(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap_rows(100, 20, spark)
+    return resampled(spark, d)
 
 
 @query("win_1", "select sample_id, label, row_number() over (partition by label order by md5('42|' || sample_id), sample_id) as r from enron where label in (0, 1)")
 def win_1(spark: SparkSession, d: str) -> DataFrame:
-    from scantling.functions.order import portable_key, ranked
-
     rows = table(spark, d, "enron").select("sample_id", "label").where("label in (0, 1)").withColumn("_key", portable_key(42, F.col("sample_id")))
     return ranked(rows, ["label"], "_key", "sample_id").select("sample_id", "label", "r")
 

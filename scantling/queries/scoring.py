@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scantling.operators import metrics, scorers, significance
-from scantling.operators.sampling import few_shot
+from scantling.operators.sampling import draws
 from scantling.plans import pipeline
+from scantling.plans.config import Config
 from scantling.queries import query, scratch
-from scantling.queries.sampling import DRAWN, base, drawn, placed
+from scantling.queries.sampling import DRAWN, HELD, KS, MODES, SEEDS, base, placed, pool, resampled
 from scantling.queries.sources import split_rows
-from scantling.session import table
+from scantling.session import cut, table
 from scantling.sources import store
 
 CLOSED = ["P2_mass_mean", "P4_cosine"]
@@ -44,13 +45,15 @@ MEASURED = f"""{CURVE}, measured as (select layer, k, seed, balance_mode, scorer
   max(case when (points <= 2 or i = 1 or np is null or p <> np or q <> nq) and fp <= 0.01::double * tot_n then tp else 0 end) / any_value(tot_p)::double as recall from curve group by layer, k, seed, balance_mode, scorer, split)"""
 
 
+def means(spark: SparkSession, d: str) -> DataFrame:
+    """Class means of every sample over every layer."""
+    return scorers.sample_means(draws(pool(spark, d), [], KS, SEEDS), pool(spark, d).join(layered(spark, d), "sample_id"), [], ["layer"], MODES)
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Scores of both closed forms on the held-out rows of every cell."""
-    vecs = layered(spark, d)
-    train = drawn(spark, d).join(vecs, "sample_id")
-    means = scorers.class_means(train, CELLS)
-    held = placed(spark, d).where("split <> 'train_pool'").join(vecs, "sample_id")
-    return scorers.closed_scores(means, held, ["layer"], CLOSED).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
+    held = placed(spark, d).where("split <> 'train_pool'").join(layered(spark, d), "sample_id")
+    return scorers.closed_scores(means(spark, d), held, ["layer"], CLOSED).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +63,7 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_8", f"with {DRAWN}, {LAYERED}, {PLACES}, {MEANS} select {_CELL}, i::int - 1 as i, round(up, 6) as up, round(down, 6) as down from means")
 def agg_8(spark: SparkSession, d: str) -> DataFrame:
-    means = scorers.class_means(drawn(spark, d).join(layered(spark, d), "sample_id"), CELLS)
-    return means.select(*CELLS, F.posexplode(F.arrays_zip("up", "down")).alias("i", "m")).select(*CELLS, "i", F.round("m.up", 6).alias("up"), F.round("m.down", 6).alias("down"))
+    return means(spark, d).select(*CELLS, F.posexplode(F.arrays_zip("up", "down")).alias("i", "m")).select(*CELLS, "i", F.round("m.up", 6).alias("up"), F.round("m.down", 6).alias("down"))
 
 
 @query("scr_2", f"with {SCORED} select {_CELL}, id as sample_id, score from scored where scorer = 'P2_mass_mean'")
@@ -150,47 +152,39 @@ def src_15(spark: SparkSession, d: str) -> DataFrame:
 @query("sort_5", f"with {DRAWN}, {LAYERED}, {PLACES}, {MEANS} select {_CELL}, i::int - 1 as i, r::int as r from (select *, row_number() over (partition by {_CELL} order by round(abs(up - down), 9) desc, i) as r from means) where r <= 4")
 def sort_5(spark: SparkSession, d: str) -> DataFrame:
     """The four places whose class means differ most."""
-    means = scorers.class_means(drawn(spark, d).join(layered(spark, d), "sample_id"), CELLS)
-    places = means.select(*CELLS, F.posexplode(F.zip_with("up", "down", lambda a, b: F.round(F.abs(a - b), 9))).alias("i", "gap"))
+    places = means(spark, d).select(*CELLS, F.posexplode(F.zip_with("up", "down", lambda a, b: F.round(F.abs(a - b), 9))).alias("i", "gap"))
     w = Window.partitionBy(*CELLS).orderBy(F.col("gap").desc(), "i")
     return places.withColumn("r", F.row_number().over(w)).where("r <= 4").select(*CELLS, "i", "r")
 
 
-DRAWS = 40
-BOOT = f"""picked as (select id, y, scorer, score, row_number() over (partition by scorer order by id) - 1 as spot from held where split = 'test' and layer = 0 and k = 25 and seed = 0 and balance_mode = 'balanced'),
-size as (select count(*) as n from picked where scorer = 'P2_mass_mean'),
-draws as (select b, cast('0x' || substr(md5(b || '|' || i), 1, 8) as bigint) % n as spot from size, range({DRAWS}) x(b), range((select n from size)) y(i)),
-resampled as (select b, scorer, score, y from draws join picked using (spot)),
-btied as (select b, scorer, score, sum(y)::bigint as p, sum(1 - y)::bigint as q from resampled group by all),
-barea as (select b, scorer, case when any_value(tp) > 0 and any_value(tn) > 0 then sum(q * (cp - p + p / 2.0::double)) / (any_value(tp) * any_value(tn)) end as auroc
-  from (select *, sum(p) over (c order by score desc) as cp, sum(p) over c as tp, sum(q) over c as tn from btied window c as (partition by b, scorer)) group by b, scorer),
-diffs as (select b, max(case when scorer = 'P2_mass_mean' then auroc end) - max(case when scorer = 'P4_cosine' then auroc end) as d from barea group by b)"""
+BOOT = f"""{HELD}, btied as (select b, layer, k, seed, balance_mode, scorer, score, sum(y * times)::bigint as p, sum((1 - y) * times)::bigint as q
+  from weights join held_rows using (spot) join held using (id) where split = 'test' group by all),
+barea as (select b, layer, k, seed, balance_mode, scorer, case when any_value(tp) > 0 and any_value(tn) > 0 then sum(q * (cp - p + p / 2.0::double)) / (any_value(tp) * any_value(tn)) end as auroc
+  from (select *, sum(p) over (c order by score desc) as cp, sum(p) over c as tp, sum(q) over c as tn from btied window c as (partition by b, layer, k, seed, balance_mode, scorer)) group by b, layer, k, seed, balance_mode, scorer),
+diffs as (select b, layer, k, seed, balance_mode, max(case when scorer = 'P2_mass_mean' then auroc end) - max(case when scorer = 'P4_cosine' then auroc end) as d from barea group by all)"""
 
 
-@query("met_4", f"with {SCORED}, {BOOT} select round(avg(d), 6) as mean_diff, round(quantile_cont(d, 0.025), 6) as ci_low, round(quantile_cont(d, 0.975), 6) as ci_high, round(2 * least(avg(coalesce((d <= 0)::int, 0)), avg(coalesce((d >= 0)::int, 0))), 6) as p_value from diffs")
+@query(
+    "met_4",
+    f"with {SCORED}, {BOOT} select {_CELL}, round(avg(d), 6) as mean_diff, round(quantile_cont(d, 0.025), 6) as ci_low, round(quantile_cont(d, 0.975), 6) as ci_high, round(2 * least(avg(coalesce((d <= 0)::int, 0)), avg(coalesce((d >= 0)::int, 0))), 6) as p_value from diffs group by all",
+)
 def met_4(spark: SparkSession, d: str) -> DataFrame:
-    """Paired bootstrap of AUROC between the closed forms, drawn by hash, wholly as a plan."""
-    from scantling.operators.sampling import bootstrap_rows
-
-    rows = scored(spark, d).where("split = 'test' and layer = 0 and k = 25 and seed = 0 and balance_mode = 'balanced'")
-    at = F.row_number().over(Window.partitionBy("scorer").orderBy("sample_id")) - 1
-    picked = rows.select("scorer", "y", "score", at.cast("long").alias("row"))
-    n = rows.where("scorer = 'P2_mass_mean'").count()
-    drawn_rows = bootstrap_rows(n, DRAWS, spark).join(picked, "row")
-    each = metrics.ranking_metrics(drawn_rows, ["b", "scorer"])
+    """Paired bootstrap of AUROC between the closed forms in every cell, drawn by hash, wholly as a plan: draws weigh rows, which are counted by score."""
+    rows = cut(scored(spark, d).where("split = 'test'")).join(resampled(spark, d), "sample_id")
+    each = metrics.ranking_metrics(rows, [*CELLS, "b", "scorer"], times=F.col("times"))
     a, b = (F.max(F.when(F.col("scorer") == s, F.col("auroc"))) for s in CLOSED)
-    diff = each.groupBy("b").agg((a - b).alias("d"))
+    diff = each.groupBy(*CELLS, "b").agg((a - b).alias("d"))
     side = lambda c: F.avg(F.coalesce(c.cast("int"), F.lit(0)))
     p = 2 * F.least(side(F.col("d") <= 0), side(F.col("d") >= 0))
     low, high = (F.percentile("d", F.lit(q)) for q in (0.025, 0.975))
-    return diff.agg(*(F.round(e, 6).alias(name) for name, e in (("mean_diff", F.avg("d")), ("ci_low", low), ("ci_high", high), ("p_value", p))))
+    return diff.groupBy(*CELLS).agg(*(F.round(e, 6).alias(name) for name, e in (("mean_diff", F.avg("d")), ("ci_low", low), ("ci_high", high), ("p_value", p))))
 
 
 def _compared(spark: SparkSession, d: str, metric: str, strict: bool = False) -> DataFrame:
     rows = _runs_of(scored(spark, d))
     ids = rows.select(F.regexp_replace("run_id", "^P[24]_[a-z_]+?__", "").alias("rest")).distinct()
     pairs = ids.select(F.concat(F.lit("P2_mass_mean__"), "rest").alias("run_id_a"), F.concat(F.lit("P4_cosine__"), "rest").alias("run_id_b"))
-    return significance.compare(significance.paired(rows, pairs, "test"), "test", metric, 200, 0, strict)
+    return significance.compare(significance.paired(rows, pairs, "test"), "test", metric, Config({}, {}).draws, 0, strict)
 
 
 @query("met_3")
@@ -205,38 +199,60 @@ def met_5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("met_7")
 def met_7(spark: SparkSession, d: str) -> DataFrame:
-    """The top pair of every setting of the result table; no predictions of theirs are stored, which each row says."""
-    from scantling.queries.sources import runs
+    """The significance phase over the sweep of the embeddings: the top pair of every setting, compared on the predictions of both with the configured draws."""
+    models, scores = _swept(spark, d, list(scorers.REGISTRY))
+    path = scratch(spark, "swept")
+    store.write_predictions(scores, path)
+    predictions = store.read_predictions(spark, path)
+    rows = scorers.result_rows(models, predictions)
+    return significance.significance(store.clean_metrics(cut(rows)), predictions, draws=Config({}, {}).draws)
+
 
-    none = spark.createDataFrame([], "run_id string, split string, sample_id long, y int, score double")
-    return significance.significance(runs(spark, d), none, draws=10)
+_FSEI = """means as (select scorer, balance_mode, model, dataset, layer, k, avg(case when isnan(test_recall_at_1pct_fpr) then null else test_recall_at_1pct_fpr end) as r from runs group by all),
+points as (select *, lag(k) over w as k0, lag(r) over w as r0, count(*) over (partition by scorer, balance_mode, model, dataset, layer) as n from means where r is not null window w as (partition by scorer, balance_mode, model, dataset, layer order by k))"""
 
 
-@query("met_8", "select round(sum((k - k0) * (r + r0) / 2) / (max(k) - min(k0)), 6) as fsei from (select k, r, lag(k) over (order by k) as k0, lag(r) over (order by k) as r0 from (values (1, 0.1::double), (2, 0.3::double), (5, 0.6::double)) t(k, r)) where k0 is not null")
+@query(
+    "met_8",
+    f"with {_FSEI} select scorer, balance_mode, model, dataset || '/' || layer as dataset, case when any_value(n) > 1 then round(sum((k - k0) * (r + r0) / 2) / (max(k) - min(k)), 6) end as fsei from points group by scorer, balance_mode, model, dataset, layer",
+)
 def met_8(spark: SparkSession, d: str) -> DataFrame:
+    """Area under recall over k of every scorer at every layer of the result table."""
     from scantling.operators.reports import efficiency
+    from scantling.queries.sources import runs
+
+    by = ["scorer", "balance_mode", "model", "dataset", "k"]
+    recall = store.clean_metrics(runs(spark, d)).withColumn("dataset", F.concat_ws("/", "dataset", "layer"))
+    rows = recall.groupBy(*by).agg(F.avg("test_recall_at_1pct_fpr").alias("test_recall_at_1pct_fpr_mean")).where("test_recall_at_1pct_fpr_mean is not null")
+    ks = [r["k"] for r in rows.select("k").distinct().collect()]  # values of k in use
+    return efficiency(rows, ks).select("scorer", "balance_mode", "model", "dataset", F.round("fsei", 6).alias("fsei"))
 
-    rows = spark.createDataFrame([("s", "b", "m", "d", 1, 0.1), ("s", "b", "m", "d", 2, 0.3), ("s", "b", "m", "d", 5, 0.6)], "scorer string, balance_mode string, model string, dataset string, k int, test_recall_at_1pct_fpr_mean double")
-    return efficiency(rows, [1, 2, 5]).select(F.round("fsei", 6).alias("fsei"))
 
+FULL = Config({}, {})
 
-def _swept(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
-    """The sweep over the embeddings: one model, four layers, all rows labelled 0 to 2 as the other dataset."""
+
+def _swept(spark: SparkSession, d: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Models and scores of the sweep over the embeddings with all k and seeds: one model, four layers, all rows labelled 0 to 2 as the other dataset."""
     cell = [F.lit("m/e").alias("model"), F.lit("even").alias("dataset")]
     vecs = layered(spark, d).join(base(spark, d), "sample_id")
-    modes = F.explode(F.array(*map(F.lit, pipeline.MODES))).alias("mode")
+    modes = F.explode(F.array(*map(F.lit, sorted({scorers.REGISTRY[n].mode for n in names})))).alias("mode")
     stored = vecs.select(*cell, modes, "layer", "sample_id", "label", "x")
     splits = placed(spark, d).select(*cell, "split", "sample_id", "label")
-    samples = few_shot(splits.where("split = 'train_pool'"), ["model", "dataset"], [1, 5, 25], 2, ["balanced", "imbalanced"])
+    drawn = draws(splits.where("split = 'train_pool'"), ["model", "dataset"], FULL.ks, FULL.seeds)
     ood = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.when(F.col("label") < 3, 1).otherwise(0).alias("label"))
     other = layered(spark, d).join(ood, "sample_id").select(*cell, modes, "layer", "sample_id", "label", "x")
-    return pipeline.sweep_runs(stored, splits, samples, names, other)
+    runs = scorers.wanted(stored.select("model", "dataset", "mode", "layer").distinct(), names, FULL.ks, FULL.seeds, FULL.balance_modes)
+    return pipeline.sweep_scores(stored, splits, runs, drawn, other)
+
+
+def _results(swept: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return scorers.result_rows(swept[0], cut(swept[1])).drop("wall_clock_s")
 
 
 def _scorer_query(number: int, name: str) -> None:
     @query(f"scr_{number}")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _swept(spark, d, [name]).drop("wall_clock_s")
+        return _results(_swept(spark, d, [name]))
 
 
 for _number, _name in ((1, "P1_logistic"), (3, "P3_lda"), (6, "P6_prompted"), (7, "P7_mahalanobis"), (8, "P8_followup")):
@@ -251,40 +267,34 @@ def scr_5(spark: SparkSession, d: str) -> DataFrame:
     weights = np.random.default_rng(0).standard_normal((16, 96))
     scorers.register(scorers.Scorer("P5_sae", scorers.sparse_features(lambda v: np.maximum(v @ weights, 0), 16)))
     try:
-        return _swept(spark, d, ["P5_sae"]).drop("wall_clock_s")
+        return _results(_swept(spark, d, ["P5_sae"]))
     finally:
         del scorers.REGISTRY["P5_sae"]
 
 
-SWEPT_SQL = f"""with {SCORED}, {MEASURED}
-select layer, k, seed, balance_mode, scorer, max(case when split = 'eval' then round(auroc, 4) end) as eval_auroc, max(case when split = 'test' then round(auroc, 4) end) as test_auroc from measured group by all"""
-
-
 @query("met_9")
 def met_9(spark: SparkSession, d: str) -> DataFrame:
-    """The whole sweep over the embeddings: seven scorers, three modes, four layers."""
-    return _swept(spark, d, list(scorers.REGISTRY)).drop("wall_clock_s")
+    """The whole sweep over the embeddings: seven scorers, three modes, four layers, all k and seeds."""
+    return _results(_swept(spark, d, list(scorers.REGISTRY)))
 
 
 @query("sweep_vectors")
 def sweep_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The sweep over the stored vectors and split maps of the mails, all scorers, k up to 5."""
+    """The sweep over the stored vectors and split maps of the mails: all scorers, k and seeds."""
     vecs = table(spark, d, "activations").where("x is not null").select("model", "dataset", "mode", "layer", "sample_id", "label", "x")
     vecs = vecs.dropDuplicates(["model", "dataset", "mode", "layer", "sample_id"])
     splits = split_rows(spark, d).where("dataset = 'enron'")
     once = splits.groupBy("model", "dataset", "sample_id").agg(F.max("split").alias("split"))  # an id in several splits counts for training
     # samples are drawn among rows that have vectors; cells differ in these, so each is a dataset of its own here
-    one = vecs.withColumn("dataset", F.concat_ws("/", "dataset", "mode", "layer"))
-    placed_rows = one.join(once.drop("dataset"), ["model", "sample_id"]).select("model", "dataset", "split", "sample_id", "label")
-    samples = few_shot(placed_rows.where("split = 'train_pool'"), ["model", "dataset"], [1, 2, 5], 2, ["balanced", "imbalanced"])
-    return pipeline.sweep_runs(one, placed_rows, samples, list(scorers.REGISTRY)).drop("wall_clock_s")
+    one = cut(vecs.withColumn("dataset", F.concat_ws("/", "dataset", "mode", "layer")))
+    placed_rows = cut(one.join(once.drop("dataset"), ["model", "sample_id"]).select("model", "dataset", "split", "sample_id", "label"))
+    drawn = draws(placed_rows.where("split = 'train_pool'"), ["model", "dataset"], FULL.ks, FULL.seeds)
+    runs = scorers.wanted(one.select("model", "dataset", "mode", "layer").distinct(), list(scorers.REGISTRY), FULL.ks, FULL.seeds, FULL.balance_modes)
+    return pipeline.sweep_runs(one, placed_rows, runs, drawn).drop("wall_clock_s")
 
 
 @query("fn_23")
 def fn_23(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the Mahalanobis scorer as predictions."""
-    cell = [F.lit("even").alias("dataset")]
-    vecs = layered(spark, d).join(placed(spark, d), "sample_id").select(*cell, "layer", "split", "sample_id", "label", "x")
-    drawn_rows = drawn(spark, d).select(*cell, "k", "seed", "balance_mode", "sample_id")
-    cells = vecs.select("dataset", "layer").distinct()
-    return scorers.predictions(drawn_rows.join(cells, "dataset"), vecs, ["dataset", "layer"], ["P7_mahalanobis"]).withColumn("score", F.round("score", 6))
+    rows = _swept(spark, d, ["P7_mahalanobis"])[1]
+    return rows.where("split <> '_seconds'").withColumn("score", F.round("score", 6))

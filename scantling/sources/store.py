@@ -21,9 +21,17 @@ def run_id(model: Column, dataset: Column, scorer: Column, layer: Column, k: Col
     return F.concat_ws("__", safe_name(model), dataset, scorer, layer, k, seed, balance)
 
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    """One folder a cell, so that a scan of a cell opens its files only; only cells that ``df`` has are replaced."""
-    df.repartition(*CELL).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CELL).parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def write_vectors(df: DataFrame, path: str, parts: int = 4) -> None:
+    """One folder a cell, so that a scan of a cell opens its files only; only cells that ``df`` has are replaced.
+
+    A cell is written by ``parts`` tasks, by hash of the ids: as many as its rows ask for.
+    """
+    df.repartition(*CELL, F.pmod(F.xxhash64("sample_id"), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CELL).parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str, **cell: str | int) -> DataFrame:
@@ -58,8 +66,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def done_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of the runs on disk; none where nothing has been written."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if not exists(spark, path):
         return spark.createDataFrame([], "run_id string")
     return known_ids(read_runs(spark, path))
 
@@ -73,8 +80,10 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    df = spark.read.schema(PREDICTIONS).parquet(path)
-    return df if run is None else df.where(F.col("run_id") == run)
+    """Stored predictions; none where nothing has been written."""
+    df = spark.read.schema(PREDICTIONS).parquet(path) if exists(spark, path) else spark.createDataFrame([], PREDICTIONS)
+    rows = df.select(*PREDICTIONS.names).where("split <> '_seconds'")
+    return rows if run is None else rows.where(F.col("run_id") == run)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

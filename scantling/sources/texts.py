@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import warnings
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,11 @@ CANDIDATES = {
     "question_id": ("question_id", "id", "example_id", "uid"),
     "label": ("label", "dishonest", "is_dishonest", "target", "y"),
 }
+# Words that stand for 1 and for 0.
 TRUTHY = ("1", "true", "yes", "spam", "positive", "dishonest", "deceptive")
 FALSY = ("0", "false", "no", "ham", "negative", "honest", "truthful")
 
+# The columns of the honesty schema in their order.
 HONESTY = ("text", "label", "belief_target", "pressure_prompt", "belief_elicitation_prompt", "proposition", "question_id", "category")
 
 
@@ -88,3 +91,18 @@ def read_any(spark: SparkSession, source: str) -> DataFrame:
     if suffix in (".parquet", ""):
         return spark.read.parquet(source)
     raise ValueError(f"unknown kind of source: {source}")
+
+
+#: How the rows of a dataset get its schema, by name.
+LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "enron": lambda df: spam(df, "enron"),
+    "sms": lambda df: spam(df, "sms", "sms" if "sms" in df.columns else "text"),
+    "mask": honesty,
+}
+
+
+def load(spark: SparkSession, name: str, source: str) -> DataFrame:
+    """The dataset of that name from a folder or file; unknown names are an error."""
+    if name not in LOADERS:
+        raise ValueError(f"unknown dataset {name!r}; known are {sorted(LOADERS)}")
+    return LOADERS[name](read_any(spark, source))

@@ -115,19 +115,11 @@ def test_few_shot(spark):
     assert sampling.few_shot(df.where("false"), ["cell"], [1], 1, ["balanced"]).count() == 0
 
 
-def test_generator_draws(spark):
-    df = spark.range(100).select(F.lit("c").alias("cell"), F.col("id").alias("sample_id"), F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("label"))
-    got = sampling.generator_splits(df, ["cell"]).toPandas()
-    assert got.groupby("split").size().to_dict() == {"test": 6, "eval": 6, "train_pool": 88} and sorted(got.sample_id) == list(range(100))
-    up = np.arange(0, 100, 4)
-    np.random.default_rng(42).shuffle(up)  # the first draw of the generator
-    assert set(got[(got.split == "test") & (got.label == 1)].sample_id) == set(up[:3])
-    labels = (np.arange(100) % 4 == 0).astype(int)
-    assert labels[sampling.generator_sample(np.arange(100), labels, 5, 1, "balanced")].sum() == 5
-    assert len(sampling.generator_sample(np.arange(100), labels, 5, 1, "imbalanced")) == 80
-    for k, mode in ((26, "balanced"), (1, "odd")):
-        with pytest.raises(ValueError):
-            sampling.generator_sample(np.arange(100), labels, k, 1, mode)
+def test_weights_of_draws(spark):
+    got = sampling.bootstrap_weights(7, 5, spark).groupBy("b").agg(F.sum("times").alias("n"), F.max("row").alias("high")).collect()
+    assert len(got) == 5 and all(r["n"] == 7 and r["high"] < 7 for r in got)
+    with pytest.raises(ValueError):
+        sampling.class_splits(spark.range(1).selectExpr("id as sample_id", "1 as label"), [], test_share=0.8, eval_share=0.3)
 
 
 def test_ranked_is_a_row_number(spark):
@@ -179,13 +171,55 @@ def test_scorers_separate():
     assert scorers.cosine_difference(np.zeros((2, 3)), np.array([1, 0]))(np.ones((1, 3)))[0] == 0.0
 
 
+CELL = ["model", "dataset", "mode", "layer"]
+
+
 def test_error_rows(spark):
-    rows = [("c", s, i, i % 2, [float(i), 1.0]) for i, s in enumerate(["train_pool"] * 4 + ["eval"] * 4 + ["test"] * 4)]
-    v = spark.createDataFrame(rows, "cell string, split string, sample_id long, label int, x array<double>")
-    samples = spark.createDataFrame([("c", 1, 0, "balanced", 1), ("c", 1, 0, "balanced", 2)], "cell string, k int, seed int, balance_mode string, sample_id long")
-    got = {r["scorer"]: r for r in scorers.fitted_runs(samples, v, ["cell"], list(scorers.REGISTRY)).collect()}
+    rows = [("m", "d", "base", 0, s, i, i % 2, [float(i), 1.0]) for i, s in enumerate(["train_pool"] * 4 + ["eval"] * 4 + ["test"] * 4)]
+    v = spark.createDataFrame(rows, "model string, dataset string, mode string, layer int, split string, sample_id long, label int, x array<float>")
+    base = [s.name for s in scorers.REGISTRY.values() if s.mode == "base"]
+    specs = spark.createDataFrame([("m", "d", "base", 0, s, 1, 0, "balanced", s, [1, 2]) for s in base], "model string, dataset string, mode string, layer int, scorer string, k int, seed int, balance_mode string, run_id string, ids array<long>")
+    models = scorers.fitted(specs, v.where("split = 'train_pool'"), CELL).cache()
+    scores = scorers.scored(models, v.where("split <> 'train_pool'"), CELL, rows_per_task=3)
+    got = {r["scorer"]: r for r in scorers.result_rows(models, scores).collect()}
+    assert set(got) == set(base)
     assert got["P7_mahalanobis"]["error"] and got["P7_mahalanobis"]["error_type"] == "ValueError" and got["P3_lda"]["error"]
     assert not got["P2_mass_mean"]["error"] and got["P2_mass_mean"]["test_auroc"] is not None and got["P2_mass_mean"]["ood_auroc"] is None
+    assert got["P2_mass_mean"]["n_train_pos"] == 1 and got["P2_mass_mean"]["wall_clock_s"] > 0
+
+
+def test_sweep_against_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 5)).astype(np.float32) + (np.arange(120) % 3 == 0)[:, None]
+    y = (np.arange(120) % 3 == 0).astype(int)
+    x[7] = np.nan  # counts as zeros
+    split = np.array(["train_pool"] * 60 + ["eval"] * 30 + ["test"] * 30)
+    v = spark.createDataFrame([("m", "d", mode, 1, i, int(y[i]), x[i].tolist()) for i in range(120) for mode in pipeline.MODES], "model string, dataset string, mode string, layer int, sample_id long, label int, x array<float>")
+    parts = spark.createDataFrame([("m", "d", split[i], i, int(y[i])) for i in range(120)], "model string, dataset string, split string, sample_id long, label int")
+    drawn = sampling.draws(parts.where("split = 'train_pool'"), ["model", "dataset"], [3, 30], 2).cache()
+    runs = scorers.wanted(v.select(*CELL).distinct(), list(scorers.REGISTRY), [3, 30], 2, ["balanced", "imbalanced"])
+    got = {(r["scorer"], r["seed"], r["balance_mode"]): r for r in pipeline.sweep_runs(v, parts, runs, drawn).collect()}
+    assert len(got) == 7 * 2 * 2  # no run of 30 positives
+    clean = np.where(np.isnan(x).any(1)[:, None], 0, x).astype(float)
+    for (name, seed, mode), r in got.items():
+        ids = [q["sample_id"] for q in drawn.where(f"seed = {seed}").collect()]
+        at = np.array([i for i in ids if mode == "balanced" or y[i] == 1] + ([] if mode == "balanced" else [i for i in range(60) if y[i] == 0]))
+        score = scorers.REGISTRY[name].fit(clean[at], y[at])
+        for side in ("eval", "test"):
+            s = score(clean[split == side])
+            assert r[f"{side}_auroc"] == pytest.approx(metrics.auroc(y[split == side], s), abs=1e-9), (name, seed, mode)
+            assert r[f"{side}_recall_at_1pct_fpr"] == pytest.approx(metrics.recall_at(y[split == side], s))
+
+
+def test_sparse_logistic_is_optimal():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((80, 6)) * [3, 1, 1, 1, 0.1, 1], rng.integers(0, 2, 80)
+    score = scorers.sparse_logistic(x, y)
+    b = np.log(score(np.zeros((1, 6)))[0] / (1 - score(np.zeros((1, 6)))[0]))
+    w = np.array([np.log(score(e)[0] / (1 - score(e)[0])) - b for e in np.eye(6)[:, None]])
+    g = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y)
+    on = np.abs(w) > 1e-6
+    assert 0 < on.sum() < 6 and np.allclose(g[on], -np.sign(w[on]), atol=1e-3) and (np.abs(g[~on]) <= 1 + 1e-3).all()
 
 
 def test_reports_ties_and_gaps(spark):
@@ -264,17 +298,56 @@ def test_config_and_grid(spark):
         conf.narrowed(c, model="nope")
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
+def test_pipeline_end_to_end(spark, tmp_path, monkeypatch):
     rows = [(i, f"{'win money now' if i % 2 else 'see you at lunch'} {i} {i * 7 % 13}", i % 2) for i in range(160)]
     given = spark.createDataFrame(rows, "sample_id long, text string, label int")
-    c = conf.Config(models={"a/b": [0, 1]}, ood={"enron": None}, ks=[1, 4], seeds=2, results_dir=str(tmp_path / "r"), cache_dir=str(tmp_path / "c"))
+    c = conf.Config(models={"a/b": [0, 1], "no/vectors": [3]}, ood={"enron": None, "mask": None}, ks=[1, 4], seeds=2, draws=20, results_dir=str(tmp_path / "r"), cache_dir=str(tmp_path / "c"))
+    assert pipeline.sweep(spark, c).count() == 0 and pipeline.significance_report(spark, c).count() == 0
     pipeline.extract(spark, c, "a/b", "enron", given, skip_filter=True, make=lambda: hashed(6, 16)())
+    pipeline.extract(spark, c, "a/b", "enron", given, skip_filter=True, make=None)  # complete cells aren't encoded again, else widths would differ
+    assert {len(r["x"]) for r in store.read_vectors(spark, f"{c.cache_dir}/vectors").collect()} == {6}
     first = pipeline.sweep(spark, c)
-    assert first.count() == 2 * 7 * 2 * 2 * 2 == pipeline.sweep(spark, c).count()  # nothing is run twice
+    assert first.count() == 2 * 7 * 2 * 2 * 2  # models and datasets without vectors are passed over
+    fits = []
+    monkeypatch.setattr(pipeline, "fitted", lambda specs, train, cell: fits.append(specs.count()) or scorers.fitted(specs, train, cell))
+    assert pipeline.sweep(spark, c).count() == first.count() and fits == [0]  # nothing is fitted twice
+    predictions = store.read_predictions(spark, f"{c.results_dir}/predictions")
+    assert predictions.select("run_id").distinct().count() == first.where("not error").count()
     tables = pipeline.analyze(store.read_runs(spark, f"{c.results_dir}/runs"), c)
     pipeline.write_reports(tables, c.results_dir)
     assert tables["decision_table"].count() == 4
     assert {len(df.columns) for df in pipeline.plot_data(tables).values()} <= {3, 4, 6}
+    report = pipeline.significance_report(spark, c, metric="auroc").collect()
+    assert len(report) == 4 and all(r["error"] is None and r["ci_low"] <= r["mean_diff"] <= r["ci_high"] for r in report)
+
+
+def test_filter_is_reused(spark, tmp_path):
+    given = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(60)], "sample_id long, text string, label int")
+    c = conf.Config(models={"m": [0]}, ood={"enron": None}, results_dir=str(tmp_path / "r"), cache_dir=str(tmp_path / "c"), max_length=1)
+    sure = lambda level: lambda df: df.withColumn("logit_diff", F.lit(level) * (F.col("label") * 2 - 1))
+    pipeline.extract(spark, c, "m", "enron", given, ("base",), difference=sure(1.0))
+    vecs = store.read_vectors(spark, f"{c.cache_dir}/vectors").collect()
+    assert len(vecs) == 60 and len({tuple(r["x"]) for r in vecs}) == 1  # max_length: all texts begin with one token
+    pipeline.extract(spark, c, "m", "enron", given, ("base",), difference=sure(-1.0))
+    assert spark.read.json(f"{c.cache_dir}/m/enron/filter_manifest").first()["n_filtered"] == 60
+    pipeline.extract(spark, c, "m", "enron", given, ("base",), difference=sure(-1.0), overwrite=True)
+    assert spark.read.json(f"{c.cache_dir}/m/enron/filter_manifest").first()["n_filtered"] == 0
+
+
+def test_command_line_end_to_end(spark, tmp_path):
+    from scantling import cli
+
+    for name in ("enron", "sms"):
+        spark.createDataFrame([(i, f"{'win money now' if i % 2 else 'see you at lunch'} {i} {i * 7 % 13}", i % 2) for i in range(160)], "sample_id long, text string, label int").write.parquet(str(tmp_path / f"{name}.parquet"))
+    config = {"models": [{"name": "a/b", "layers": [0]}], "datasets": {"in_distribution": ["enron"], "ood": {"enron": "sms"}}, "sweep": {"k_values": [1, 3], "seeds": 2}, "significance": {"n_boot": 10}, "results_dir": str(tmp_path / "r"), "extraction": {"cache_dir": str(tmp_path / "c")}}
+    (tmp_path / "config.yaml").write_text(__import__("json").dumps(config))
+    sources = [x for n in ("enron", "sms") for x in ("--source", f"{n}={tmp_path}/{n}.parquet")]
+    cli.main(["all", "--config", str(tmp_path / "config.yaml"), *sources])
+    report = spark.read.option("header", True).csv(str(tmp_path / "r" / "significance_test")).collect()
+    assert len(report) == 4 and all(r["error"] is None for r in report)
+    assert spark.read.option("header", True).csv(str(tmp_path / "r" / "ood_table")).where("ood_auroc_mean is not null").count() > 0
+    cli.main(["significance", "--config", str(tmp_path / "config.yaml"), "--split", "eval"])
+    assert (tmp_path / "r" / "significance_eval").exists()
 
 
 def test_stream(spark, tmp_path):
