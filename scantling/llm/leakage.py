@@ -1,9 +1,10 @@
 """Problem 9: evaluation passages in a training corpus.
 
-Windows of a fixed number of words are fingerprinted by SimHash on both sides. Fingerprints are cut in one
-block more than the radius has bits, so that any two within the radius agree in a block; windows of items are
-indexed by block value, windows of documents look them up as they stream by. Candidates are
-verified by the weighted similarity of their word shingles and by comparing the words themselves.
+Two kinds of windows are fingerprinted by SimHash on both sides: every run of twelve words, and windows as long as the items
+themselves, so that an item found with words changed counts as well. Fingerprints are cut in one block more than the radius has bits, so
+that any two within the radius agree in a block; windows of items are indexed by block value, windows of documents look them up as they
+stream by. Candidates are verified: twelve words by comparing them, item-sized windows by the similarity of their shingles with
+their numbers.
 """
 
 from __future__ import annotations
@@ -19,19 +20,39 @@ from pyspark.sql import functions as F
 from scantling.llm.common import list_arrays, word_hashes
 from scantling.llm.crosssplit import mix
 
-#: Words of items in one broadcast index; more items are searched in several passes. An index of this size takes under 150 MB.
-BLOCK_WORDS = 200_000
+#: Words of items in one index; more items are searched in several passes. An index of this size takes under 200 MB.
+BLOCK_WORDS = 1_000_000
+#: Words of an exact passage, and bits by which equal words may differ (none do; the guarantee is tested at this radius).
+PASSAGE, PASSAGE_RADIUS = 12, 3
+#: Bits by which fingerprints of item-sized windows may differ: at similarity 0.8 about one word in 45 is changed, which moves 4.3 bits of 64 on average.
+RADIUS = 7
+GROWTH = 1.25
+STEP = 40_000  # words of documents at a time
 FOUND = "doc_id long, item_id long, windows int, exact boolean, similarity double"
 
 
-def simhashes(words: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of every run of ``window`` words (at most 255), by majority of the bits of the word hashes."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+def sizes_up_to(longest: int, least: int = PASSAGE) -> list[int]:
+    """Sizes of windows: each number of words below ``least``, then steps of a quarter."""
+    out, size = list(range(1, least)), float(least)
+    while int(size) <= longest:
+        out.append(int(size))
+        size = max(size * GROWTH, size + 1)
+    return out
+
+
+def bit_sums(words: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the bits of the word hashes, in the least type in which differences over ``longest`` words are exact."""
     bits = np.unpackbits(np.ascontiguousarray(mix(words.view(np.uint64))).view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(words) + 1, 64), np.uint8)  # wraps round, as do the differences
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=sums[1:])
+    kind = np.uint8 if longest <= 255 else np.uint16 if longest <= 65_535 else np.uint32
+    sums = np.zeros((len(words) + 1, 64), kind)  # wraps round, as do the differences
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
+    return sums
+
+
+def simhashes(sums: np.ndarray, window: int) -> np.ndarray:
+    """SimHash of every run of ``window`` words, by majority of the bits of the word hashes, from their running sums."""
+    if len(sums) <= window:
+        return np.zeros(0, np.uint64)
     return np.packbits((sums[window:] - sums[:-window]) > window // 2, axis=1).view(np.uint64).reshape(-1)
 
 
@@ -43,32 +64,33 @@ def windows_of(flat: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
     return at, owner[at]
 
 
-class Index:
-    """Item windows by block value."""
+def shingle_counts(words: np.ndarray, shingle: int) -> Counter:
+    plain = words.tolist()
+    return Counter(tuple(plain[i : i + shingle]) for i in range(len(plain) - shingle + 1))
+
 
-    def __init__(self, ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, window: int, radius: int, shingle: int):
-        at, owner = windows_of(flat, offsets, window)
-        self.window, self.radius, self.shingle, self.item = window, radius, shingle, ids[owner]
-        self.words = flat[at[:, None] + np.arange(window)]
-        self.prints = simhashes(flat, window)[at]
+def weighted(x: Counter, y: Counter) -> float:
+    """Jaccard similarity of shingles, each weighing as often as it stands in a text."""
+    common = sum((x & y).values())
+    whole = x.total() + y.total() - common
+    return common / whole if whole else 0.0
+
+
+class Table:
+    """Windows of one size by block value."""
+
+    def __init__(self, prints: np.ndarray, words: np.ndarray, item: np.ndarray, radius: int):
+        self.prints, self.words, self.item, self.radius = prints, words, item, radius
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = []
         for low, high in zip(edges[:-1], edges[1:]):
-            value = self.block(self.prints, low, high)
+            value = self.block(prints, low, high)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((low, high, order, np.searchsorted(value[order], np.arange((1 << (high - low)) + 1))))
-        seen = Counter(s for i in range(len(offsets) - 1) for s in set(self.cut(flat[offsets[i] : offsets[i + 1]])))
-        items = max(len(offsets) - 1, 1)
-        self.weight = {s: float(np.log1p(items / n)) for s, n in seen.items()}
-        self.rare = float(np.log1p(items))
+            self.blocks.append((low, high, order, np.searchsorted(value[order], np.arange((1 << int(high - low)) + 1))))
 
     @staticmethod
     def block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
-        return (prints >> np.uint64(low)).astype(np.uint64) & np.uint64((1 << (high - low)) - 1)
-
-    def cut(self, words: np.ndarray) -> list[tuple]:
-        plain = words.tolist()
-        return [tuple(plain[i : i + self.shingle]) for i in range(len(plain) - self.shingle + 1)]
+        return (prints >> np.uint64(low)).astype(np.uint64) & np.uint64((1 << int(high - low)) - 1)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (position, item window) within the radius."""
@@ -85,45 +107,69 @@ class Index:
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs // max(len(self.prints), 1), pairs % max(len(self.prints), 1)
 
-    def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
-        """Weighted Jaccard of the shingles with their numbers; shingles that few items share weigh most."""
-        x, y = Counter(self.cut(a)), Counter(self.cut(b))
-        weigh = lambda c: sum(n * self.weight.get(s, self.rare) for s, n in c.items())
-        whole = weigh(x | y)
-        return weigh(x & y) / whole if whole else 0.0
 
+class Index:
+    """The windows of a block of items: all of PASSAGE words, and for each item the first and last of the greatest size that it holds."""
+
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, shingle: int, passage: int = PASSAGE, radius: int = RADIUS):
+        lengths = np.diff(offsets)
+        self.passage, self.shingle, self.longest = passage, shingle, int(lengths.max(initial=passage))
+        sums = bit_sums(flat, self.longest)
+        cut = lambda at, size: flat[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), flat.dtype)
+        at, owner = windows_of(flat, offsets, passage)
+        self.passages = Table(simhashes(sums, passage)[at], cut(at, passage), ids[owner], PASSAGE_RADIUS)
+        sizes = np.array(sizes_up_to(self.longest))
+        size_of = sizes[np.searchsorted(sizes, lengths, side="right") - 1] if len(lengths) else np.zeros(0, int)
+        self.tables: dict[int, Table] = {}
+        for size in sorted(set(size_of[lengths >= shingle].tolist())):
+            mine = np.flatnonzero((size_of == size) & (lengths >= shingle))
+            at = np.unique(np.concatenate([offsets[mine], offsets[mine + 1] - size]))
+            owner = np.searchsorted(offsets, at, side="right") - 1
+            self.tables[size] = Table(simhashes(sums, size)[at], cut(at, size), ids[owner], radius)
+        self.counts: dict[tuple[int, int], Counter] = {}
+
+    def similarity(self, words: np.ndarray, size: int, right: int) -> float:
+        known = self.counts.get((size, right))
+        if known is None:
+            known = self.counts[size, right] = shingle_counts(self.tables[size].words[right], self.shingle)
+        return weighted(shingle_counts(words, self.shingle), known)
 
-def _search(index: Index, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    step = 40_000  # words at a time
 
+def _search(index: Index, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, flat = list_arrays(batch.column("words"))
-            at, owner = windows_of(flat, offsets, index.window)
             docs = batch.column("doc_id").to_numpy()
+            places = {size: windows_of(flat, offsets, size) for size in {index.passage, *index.tables}}
             found: dict[tuple[int, int], list] = {}
-            for begin in range(0, len(flat), step):
-                mine = slice(*np.searchsorted(at, [begin, begin + step]))
-                if mine.start == mine.stop:
-                    continue
-                prints = simhashes(flat[begin : begin + step + index.window - 1], index.window)[at[mine] - begin]
-                left, right = index.near(prints)
-                texts = flat[at[mine][left][:, None] + np.arange(index.window)]
-                same = (texts == index.words[right]).all(axis=1)
-                for i in range(len(left)):
-                    s = 1.0 if same[i] else index.similarity(texts[i], index.words[right[i]])
-                    if s >= least:
-                        hit = found.setdefault((int(docs[owner[mine][left[i]]]), int(index.item[right[i]])), [set(), False, 0.0])
-                        hit[0].add(int(right[i]))
-                        hit[1] |= bool(same[i])
-                        hit[2] = max(hit[2], s)
+            hit = lambda doc, item: found.setdefault((int(docs[doc]), int(item)), [set(), 0.0])  # noqa: B023, E731
+            for begin in range(0, len(flat), STEP):
+                sums = bit_sums(flat[begin : begin + STEP + index.longest - 1], index.longest)
+                for size, (at, owner) in places.items():
+                    mine = slice(*np.searchsorted(at, [begin, begin + STEP]))
+                    if mine.start == mine.stop:
+                        continue
+                    prints = simhashes(sums, size)[at[mine] - begin]
+                    if size == index.passage:
+                        left, right = index.passages.near(prints)
+                        same = (flat[at[mine][left][:, None] + np.arange(size)] == index.passages.words[right]).all(axis=1)
+                        for i, j in zip(left[same].tolist(), right[same].tolist()):
+                            hit(owner[mine][i], index.passages.item[j])[0].add(j)
+                    if size in index.tables:
+                        left, right = index.tables[size].near(prints)
+                        for i, j in zip(left.tolist(), right.tolist()):
+                            first = at[mine][i]
+                            s = index.similarity(flat[first : first + size], size, j)
+                            if s >= least:
+                                known = hit(owner[mine][i], index.tables[size].item[j])
+                                known[1] = max(known[1], s)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in found], pa.int64()),
                     pa.array([k[1] for k in found], pa.int64()),
                     pa.array([len(v[0]) for v in found.values()], pa.int32()),
-                    pa.array([v[1] for v in found.values()], pa.bool_()),
-                    pa.array([v[2] for v in found.values()], pa.float64()),
+                    pa.array([bool(v[0]) for v in found.values()], pa.bool_()),
+                    pa.array([v[1] for v in found.values()], pa.float64()),
                 ],
                 names=["doc_id", "item_id", "windows", "exact", "similarity"],
             )
@@ -131,28 +177,29 @@ def _search(index: Index, least: float) -> Callable[[Iterable[pa.RecordBatch]],
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Documents that hold windows of items: ``doc_id, item_id, windows`` (of the item, matched), ``exact, similarity`` (of the best).
+def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Documents in which items stand, in part or whole: ``doc_id, item_id, windows, exact, similarity``.
 
-    ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``; ids are unique. A window of a document matches one
-    of an item if their fingerprints differ in at most ``radius`` bits and their weighted shingle similarity is
-    at least ``similarity``; equal windows always do. ``exact`` tells that some window is equal word for word.
-    Null and empty texts and those under ``window`` words have no windows. Documents aren't shuffled; items are
+    ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``; ids are unique. ``exact`` tells that some ``passage`` words of the item
+    stand there word for word, ``windows`` how many runs of so many words of the item do. ``similarity`` is that of the best
+    window as long as the item (to a quarter, from its first or to its last word), 0 if none reaches the bound. A row needs either.
+    Windows are compared if their fingerprints are within the radius, see RADIUS. Null and empty texts have no windows; an item under
+    ``shingle`` words is never found, one under ``passage`` words is by its similarity. Documents aren't shuffled; items are
     broadcast in blocks of BLOCK_WORDS words, one pass over the documents for each block.
     """
     spark = docs.sparkSession
-    hashed = items.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= window)
+    hashed = items.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= shingle)
     total = hashed.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    read = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= window)
+    read = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= shingle)
     out = None
     for b in range(blocks):
-        rows = hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
+        rows = hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()  # BLOCK_WORDS words, about
         if not rows:
             continue
         offsets = np.concatenate([[0], np.cumsum([len(r["words"]) for r in rows])]).astype(np.int64)
         flat = np.concatenate([np.array(r["words"], np.int64) for r in rows])
-        index = Index(np.array([r["item_id"] for r in rows], np.int64), flat, offsets, window, radius, shingle)
+        index = Index(np.array([r["item_id"] for r in rows], np.int64), flat, offsets, shingle, passage)
         part = read.mapInArrow(_search(index, similarity), FOUND)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], FOUND) if out is None else out

@@ -94,17 +94,13 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_report(_mails(spark, d), _mail_splits(spark, d))
 
 
-def _leaks(spark: SparkSession, d: str, **how: int) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "heldout_items").select("item_id", "text"), **how)
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Items that stand in a document, twelve words exactly or the item nearly, with how many passages and how nearly."""
+    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "heldout_items").select("item_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, window=12).where("exact").select("doc_id", "item_id")
-
-
-def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of 24 words that stand in a document exactly or nearly, by item."""
-    return _leaks(spark, d, window=24)
+    return p9_leaks(spark, d).where("exact").select("doc_id", "item_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

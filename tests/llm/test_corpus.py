@@ -242,13 +242,47 @@ def test_items_in_blocks(spark, monkeypatch):
 def test_blocks_guarantee_the_radius():
     rng = np.random.default_rng(1)
     flat = rng.integers(-(2**62), 2**62, 400, np.int64)
-    index = leakage.Index(np.arange(1), flat, np.array([0, 400]), 12, 3, 5)
-    near = index.prints.copy()
-    for k in range(len(near)):
-        for bit in rng.choice(64, 3, replace=False):
-            near[k] ^= np.uint64(1) << np.uint64(bit)
-    left, right = index.near(near)
-    assert {(k, k) for k in range(len(near))} <= set(zip(left.tolist(), right.tolist()))
+    index = leakage.Index(np.arange(1), flat, np.array([0, 400]), 5)
+    for table, radius in ((index.passages, leakage.PASSAGE_RADIUS), (next(iter(index.tables.values())), leakage.RADIUS)):
+        near = table.prints.copy()
+        for k in range(len(near)):
+            for bit in rng.choice(64, radius, replace=False):
+                near[k] ^= np.uint64(1) << np.uint64(bit)
+        left, right = table.near(near)
+        assert {(k, k) for k in range(len(near))} <= set(zip(left.tolist(), right.tolist()))
+
+
+def test_changed_items_are_found(spark):
+    """Against brute force: every window of the item's size whose weighted similarity reaches the bound."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(5000)}"
+    items = {i: [word() for _ in range(rng.randrange(50, 160))] for i in range(40)}
+    docs = {}
+    for d in range(240):
+        text = list(items[d % 40])
+        for _ in range(1 + d // 80):  # one to three words replaced, left out or put in
+            k = rng.randrange(len(text))
+            text[k : k + rng.choice((0, 1, 1))] = [word()] if rng.random() < 0.7 else []
+        docs[d] = [word() for _ in range(rng.randrange(30))] + text + [word() for _ in range(rng.randrange(30))]
+    shown = lambda m: spark.createDataFrame([(k, " ".join(w)) for k, w in m.items()], "id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(shown(docs).withColumnRenamed("id", "doc_id"), shown(items).withColumnRenamed("id", "item_id")).where("similarity > 0").collect()}
+    sizes = leakage.sizes_up_to(200)
+    want = set()
+    for d, words in docs.items():
+        item = items[d % 40]
+        size = max(s for s in sizes if s <= len(item))
+        ends = [leakage.shingle_counts(np.array(x), 5) for x in (item[:size], item[-size:])]
+        windows = (leakage.shingle_counts(np.array(words[k : k + size]), 5) for k in range(len(words) - size + 1))
+        if any(leakage.weighted(w, e) >= 0.8 for w in windows for e in ends):
+            want.add((d, d % 40))
+    assert len(want) > 150 and found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c d")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["exact"], r["similarity"]) for r in leakage.leaks(docs, items).collect()] == [(1, 1, False, 1.0)]
 
 
 def test_word_hashes(spark):
