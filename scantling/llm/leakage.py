@@ -64,6 +64,14 @@ def windows_of(flat: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
     return at, owner[at]
 
 
+def rolled(words: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of every run of ``shingle`` words."""
+    out = np.zeros(max(len(words) - shingle + 1, 0), np.uint64)
+    for k in range(shingle):
+        out = mix((out + words[k : k + len(out)].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def shingle_counts(words: np.ndarray, shingle: int) -> Counter:
     plain = words.tolist()
     return Counter(tuple(plain[i : i + shingle]) for i in range(len(plain) - shingle + 1))
@@ -127,6 +135,13 @@ class Index:
             owner = np.searchsorted(offsets, at, side="right") - 1
             self.tables[size] = Table(simhashes(sums, size)[at], cut(at, size), ids[owner], radius)
         self.counts: dict[tuple[int, int], Counter] = {}
+        self.known = np.unique(rolled(flat, shingle))
+
+    def strange(self, words: np.ndarray) -> np.ndarray:
+        """Running number of the shingles that stand in no item."""
+        value = rolled(words, self.shingle)
+        at = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+        return np.concatenate([[0], np.cumsum(self.known[at] != value)])
 
     def similarity(self, words: np.ndarray, size: int, right: int) -> float:
         known = self.counts.get((size, right))
@@ -144,7 +159,8 @@ def _search(index: Index, least: float) -> Callable[[Iterable[pa.RecordBatch]],
             found: dict[tuple[int, int], list] = {}
             hit = lambda doc, item: found.setdefault((int(docs[doc]), int(item)), [set(), 0.0])  # noqa: B023, E731
             for begin in range(0, len(flat), STEP):
-                sums = bit_sums(flat[begin : begin + STEP + index.longest - 1], index.longest)
+                chunk = flat[begin : begin + STEP + index.longest - 1]
+                sums, strange = bit_sums(chunk, index.longest), index.strange(chunk)
                 for size, (at, owner) in places.items():
                     mine = slice(*np.searchsorted(at, [begin, begin + STEP]))
                     if mine.start == mine.stop:
@@ -157,6 +173,10 @@ def _search(index: Index, least: float) -> Callable[[Iterable[pa.RecordBatch]],
                             hit(owner[mine][i], index.passages.item[j])[0].add(j)
                     if size in index.tables:
                         left, right = index.tables[size].near(prints)
+                        n, first = size - index.shingle + 1, at[mine][left] - begin
+                        # windows of n shingles each have 2 n s / (1 + s) in common at least, so that no more than the rest may be strange to all items
+                        some = strange[first + n] - strange[first] <= n - 2 * n * least / (1 + least) + 1e-6
+                        left, right = left[some], right[some]
                         for i, j in zip(left.tolist(), right.tolist()):
                             first = at[mine][i]
                             s = index.similarity(flat[first : first + size], size, j)
