@@ -444,15 +444,70 @@ def test_old_text_below_above_and_between_new_text(spark):
     assert got == {2: [3, 4, 5, 6, 7, 8], 3: [1, 2, 3, 4, 5, 6], 4: [1, 2, 7, 8, 12, 13]}
 
 
-def test_sentence_tables_guarantee_the_radius(spark):
-    rng = np.random.default_rng(2)
-    a = rng.integers(-(2**63), 2**63 - 1, 50, np.int64)
-    b = a.copy()
-    for k in range(50):
-        for bit in rng.choice(64, quotes.RADIUS, replace=False):
-            b[k] ^= np.int64(np.uint64(1 << int(bit)).view(np.int64))
-    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
-    assert df.where(F.arrays_overlap(quotes._tables(F.col("a")), quotes._tables(F.col("b")))).count() == 50
+def _keys(sentence):
+    split = [quotes.hash_word(w) for w in sentence.split(" ")]
+    parts = [split] if len(split) <= quotes.PIECE else [split[: quotes.PIECE], split[-quotes.PIECE :]]
+    return set(quotes.table_keys(quotes.fingerprints(np.array(sum(parts, []), np.uint64), np.array([len(x) for x in parts]))).reshape(-1).tolist())
+
+
+def test_near_sentences_are_retrieved():
+    """Edits of whole words up to an edit distance of 0.15: at least 0.9 of the pairs within it meet in a table."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    met = {}
+    for _ in range(3000):
+        a = [word() for _ in range(rng.randrange(6, 30))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.choice((0, 1, 1, 1))] = [word()] if rng.random() < 0.7 else []
+        x, y = " ".join(a), " ".join(b)
+        if x != y and quotes.distance(x, y) <= 0.15 * max(len(x), len(y)):
+            met.setdefault(len(a) // 10, []).append(bool(_keys(x) & _keys(y)))
+    every = [m for group in met.values() for m in group]
+    assert len(every) > 1000 and np.mean(every) >= 0.9 and min(np.mean(group) for group in met.values()) >= 0.85
+
+
+def test_one_word_changed_alters_two_blocks_at_most():
+    rng = random.Random(12)
+    for _ in range(300):
+        a = [f"w{rng.randrange(9000)}" for _ in range(8)]
+        b = list(a)
+        b[rng.randrange(8)] = "other"
+        assert _keys(" ".join(a)) & _keys(" ".join(b))
+
+
+def test_distance_against_the_table():
+    rng = random.Random(13)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(14))) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            now = [i + 1]
+            for j, d in enumerate(b):
+                now.append(min(row[j + 1] + 1, now[-1] + 1, row[j] + (c != d)))
+            row = now
+        assert quotes.distance(a, b) == row[-1]
+
+
+def test_edited_text_is_inherited_and_lookalikes_are_not(spark):
+    say = _say(8)
+    original = [say(12) for _ in range(6)]
+    carried = [f"{x.rsplit(' ', 1)[0]} changed." for x in original]  # a word of each sentence edited
+    lookalike = [original[0], say(), original[2], say(), say(), original[5]]
+    mails = [(1, 0, original), (2, 1, ["Agreed with all of this, see below.", "", *original[:3], carried[3], *original[4:]]), (3, 2, lookalike), (4, 3, [say(), say(), lookalike[1], say()])]
+    assert _removed(spark, mails) == {2: [3, 4, 5, 6, 7, 8]}
+
+
+def test_lines_of_any_length_are_read():
+    long = "x" * 50_000
+    assert quotes.layout(f"new text\n\n> quoted {long}\n> more {long}") == [3, 4]
+    import time
+
+    began = time.time()
+    for hard in ("-" * 200_000 + "a", " >" * 100_000, "\u00a0" * 200_000 + "x", "on " * 70_000, "- " * 100_000):
+        quotes.layout(f"text\n{hard}\ntext")
+    assert time.time() - began < 20
 
 
 # problem 2
