@@ -80,18 +80,23 @@ def _bands(bands: int, rows: int) -> Callable[[Iterable[pa.RecordBatch]], Iterat
                 continue
             ends, value = list_arrays(batch.column("shingles"))
             keys = band_keys(value.view(np.uint64), ends, bands, rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column("class").to_numpy(), bands)), pa.array(np.repeat(np.diff(ends), bands).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))], names=["class", "n", "bucket"]
-            )
+            again = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+            columns = [batch.column(c).take(again) for c in ("class", "train", "held")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(np.diff(ends), bands).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))], names=["class", "train", "held", "n", "bucket"])
 
     return run
 
 
+#: Parts in which rows with the same words are joined with their class.
+SALTS = 8
+
+
 def classes(texts: DataFrame) -> DataFrame:
-    """``id, class`` of ``id, text``: class is the smallest id with the same words; null texts have none."""
-    keyed = texts.where("id is not null and text is not null").select("id", F.unhex(F.sha2(F.array_join(words(F.col("text")), " "), 256)).alias("digest"))
-    least = keyed.groupBy("digest").agg(F.min("id").alias("class"))
-    return keyed.join(least, "digest").select("id", "class")
+    """``id, class`` of ``id, text``: class is the smallest id with the same words; null texts have none. A text of millions of copies is joined in SALTS parts."""
+    keyed = texts.where("id is not null and text is not null").select("id", F.unhex(F.sha2(F.array_join(words(F.col("text")), " "), 256)).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    least = keyed.groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("n > 1").select("digest", "class", spread)
+    return keyed.join(least, ["digest", "salt"], "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
 def shingle_sets(texts: DataFrame, membership: DataFrame, size: int) -> DataFrame:
@@ -103,16 +108,21 @@ def shingle_sets(texts: DataFrame, membership: DataFrame, size: int) -> DataFram
 def similar_classes(sets: DataFrame, sides: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Pairs of different classes ``x < y`` with Jaccard similarity of their shingle sets of at least ``similarity``.
 
-    ``sides`` has ``class, train, held``: arrays of the split maps that hold the class on either side; only
-    pairs that some map parts are compared. Each pair above the
-    threshold is found with the probability that the bands give (0.999 at 0.6).
+    ``sides`` has ``class, train, held``: arrays of the numbers of the split maps that hold the class on either side. Bands carry them
+    as bits, so that train rows meet held rows only, of some map that parts them; rows of one side never meet. Each pair above the
+    threshold is found with the probability that the bands give (0.999 at 0.6). Both sides of the join of
+    buckets are shuffled for it and nothing else, so that adaptive execution can split a hot bucket on either side.
     """
-    banded = sets.mapInArrow(_bands(bands, rows), "class long, n int, bucket long")
-    x, y = (banded.select("bucket", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.pow(F.lit(2.0), F.pmod(k, F.lit(62))).cast("long")))
+    marked = sets.join(sides.select("class", bits(F.col("train")).alias("train"), bits(F.col("held")).alias("held")), "class")
+    banded = marked.mapInArrow(_bands(bands, rows), "class long, train long, held long, n int, bucket long")
+    x = banded.where("train <> 0").select("bucket", F.col("class").alias("x"), F.col("n").alias("n_x"), "train")
+    y = banded.where("held <> 0").select("bucket", F.col("class").alias("y"), F.col("n").alias("n_y"), "held")
     least = F.lit(similarity)
-    met = x.join(y, "bucket").where((F.col("x") < F.col("y")) & (F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y"))).select("x", "y").distinct()
+    met = x.join(y, "bucket").where((F.col("x") != F.col("y")) & (F.col("train").bitwiseAND(F.col("held")) != 0) & (F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")))
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     sx, sy = (sides.select(F.col("class").alias(c), F.col("train").alias(f"train_{c}"), F.col("held").alias(f"held_{c}")) for c in "xy")
-    parted = met.join(sx, "x").join(sy, "y").where("arrays_overlap(train_x, held_y) or arrays_overlap(held_x, train_y)").select("x", "y")
+    parted = met.join(sx, "x").join(sy, "y").where("arrays_overlap(train_x, held_y) or arrays_overlap(held_x, train_y)").select("x", "y")  # exact beyond 62 maps as well
     zx, zy = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "xy")
     common = F.size(F.array_intersect("s_x", "s_y"))
     compared = parted.join(zx, "x").join(zy, "y").withColumn("common", common)
@@ -130,7 +140,8 @@ def _overlaps(texts: DataFrame, splits: DataFrame, size: int, similarity: float)
     """Members (model, class, id and sides) and pairs of classes in both directions, a class with itself included."""
     membership = cut(classes(texts))
     member = sides_of(splits).join(membership, "id")
-    sides = member.groupBy("class").agg(F.collect_set(F.when(F.col("train"), F.col("model"))).alias("train"), F.collect_set(F.when(F.col("eval") | F.col("test"), F.col("model"))).alias("held"))
+    map_of = F.xxhash64("model")
+    sides = cut(member.groupBy("class").agg(F.collect_set(F.when(F.col("train"), map_of)).alias("train"), F.collect_set(F.when(F.col("eval") | F.col("test"), map_of)).alias("held")))
     sets = shingle_sets(texts, membership, size)
     pairs = cut(similar_classes(sets, sides, similarity))
     both = pairs.select("x", "y").unionByName(pairs.selectExpr("y as x", "x as y"))
