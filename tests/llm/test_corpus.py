@@ -178,6 +178,12 @@ def test_differencing_balances():
     assert by_bin.tolist() == sums.tolist()
 
 
+def test_light_weights_fill_the_lightest_bins():
+    sums, placed = groups.difference([(100, 3), (90, 2)], 4)
+    more = groups.fill(sums, [(3, 40), (1, 7)])
+    assert len(placed) == 5 and len(more) == 47 and sums.sum() == 480 + 127 and sums.max() - sums.min() <= 100 and len({(w, k) for w, k, _ in more}) == 47
+
+
 # problem 8
 
 
