@@ -34,7 +34,6 @@ COMMON = frozenset(
 WORD = re.compile(r"[^\W_]+")
 RULE = re.compile(r"[\s\-+=|_:.*~#]+$")
 ENTRY = re.compile(r"(?:\s+o|\s*(?:[-*+•·–‣◦]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\]|[0-9]{1,3}\s*[-–:]))\s+\S")
-LEADER = re.compile(r".*\S\s?\.{4,}\s*\d+\s*$")
 LINK = re.compile(r"\s*(?:https?|ftp)://\S+\s*$")
 PAIRS = re.compile(r"\s*(?:[\w.-]+[=:][^\s,;]+[\s,;]+)+[\w.-]+[=:][^\s,;]+\s*$")
 GAP = re.compile(r"(?<=\S)(?: {2,})(?=\S)")
@@ -47,11 +46,19 @@ CODE = re.compile(r"function\s*\(|\bvar \w+\s*=|[{};]\s*$|^%PDF|^\W*$")
 FURNITURE = re.compile(r"\W*(?:click here|loading|page \d+|next|previous|home|login|help|menu|share|print|\[\w+\])(?:\W+(?:home|login|help|menu|next|previous))*\W*$", re.I)  # what pages carry around their text
 END = tuple(".!?…:;\"'”’)]")
 
-LONGEST, BARE_LONGEST = 2000, 120  # characters of a line that may be an entry or a row of columns, or an item without a mark
-
 ROW, LISTED, REMAINS, TEXT, BLANK = range(5)
 
-STATS = "doc_id long, words long, mean_word_length double, symbol_share double, line_end_share double, common_share double, sort string"
+STATS = "doc_id long, words long, mean_word_length double, symbol_share double, line_end_share double, common_share double, sort string, aligned_share double, indent_period double, length_autocorrelation double"
+#: Spans at which lines are compared with the ones before, for lists that return to an indentation every few lines.
+LAGS = range(1, 7)
+
+
+def leader(line: str) -> bool:
+    """A line that ends in dots leading to a number, as in a table of contents; linear in the line."""
+    bare = line.rstrip()
+    head = bare.rstrip("0123456789")
+    dots = head.rstrip()
+    return len(head) < len(bare) and dots.endswith("....") and bool(dots.rstrip(".").strip())
 
 
 def shape(line: str) -> str:
@@ -74,16 +81,16 @@ def _delimited(lines: list[str]) -> list[bool]:
     gaps = [[m.end() for m in GAP.finditer(x.rstrip())] if "  " in x else [] for x in lines]
     rivers = Counter(p for g in gaps for p in g)
     for k, g in enumerate(gaps):
-        if g and len(lines[k]) <= LONGEST and not LEADER.match(lines[k]) and (len(g) >= 2 or max(rivers[p] for p in g) >= 3) and len(lines[k].split()) <= 4 * (len(g) + 1):
+        if g and not leader(lines[k]) and (len(g) >= 2 or max(rivers[p] for p in g) >= 3) and len(lines[k].split()) <= 4 * (len(g) + 1):
             out[k] = True
     return out
 
 
 def _entries(lines: list[str]) -> list[bool]:
     """Marked lines, where a marker returns on at least three lines, and runs of at least five bare items of a few words."""
-    marked = [len(x) <= LONGEST and bool(ENTRY.match(x) or LEADER.match(x) or LINK.match(x)) for x in lines]
+    marked = [bool(ENTRY.match(x) or leader(x) or LINK.match(x)) for x in lines]
     out = marked if sum(marked) >= 3 or sum(marked) == len(marked) else [False] * len(lines)
-    bare = [len(x) <= BARE_LONGEST and bool(BARE.match(x)) and not FURNITURE.match(x) and not any(w.lower() in COMMON for w in WORD.findall(x)) for x in lines]
+    bare = [bool(BARE.match(x)) and not FURNITURE.match(x) and not any(w.lower() in COMMON for w in WORD.findall(x)) for x in lines]
     begin = 0
     while begin < len(lines):
         end = begin
@@ -102,6 +109,42 @@ def autocorrelation(lengths: np.ndarray, lag: int = 1) -> float:
     return float((x[lag:] * x[:-lag]).sum()) / power if power else 0.0
 
 
+def indentation(lines: list[str]) -> np.ndarray:
+    """White space before each line that isn't blank, a tab being four."""
+    out = []
+    for x in lines:
+        bare = x.lstrip()
+        if bare:
+            before = x[: len(x) - len(bare)]
+            out.append(len(before) + 3 * before.count("\t"))
+    return np.array(out, float)
+
+
+def period(indents: np.ndarray) -> float:
+    """How regularly the indentation returns: the greatest autocorrelation over LAGS, 0 where it doesn't vary or there are fewer than six lines."""
+    if len(indents) < 6 or not indents.any():
+        return 0.0
+    return max((autocorrelation(indents, lag) * len(indents) / (len(indents) - lag) for lag in LAGS if lag <= len(indents) // 3), default=0.0)
+
+
+def signals(lines: list[str]) -> tuple[float, float, float]:
+    """Share of lines whose delimiters or gaps stand in line with others', period of the indentation, autocorrelation of the lengths, of the lines that aren't blank."""
+    full = [x for x in lines if x.strip()]
+    if len(full) < 2:
+        return 0.0, 0.0, 0.0
+    lengths = np.array([len(x) for x in full], float)
+    return sum(_delimited(full)) / len(full), period(indentation(full)), autocorrelation(lengths)
+
+
+def _indented(lines: list[str], sorts: list[int]) -> bool:
+    """Whether running text is in truth a list shown by indentation alone: short lines, without the punctuation of prose, at indentations that return."""
+    text = [x for x, s in zip(lines, sorts) if s == TEXT]
+    if len(text) < 6 or sum(x.rstrip().endswith(END) for x in text) > 0.2 * len(text) or sum(len(x.split()) for x in text) > 9 * len(text):
+        return False
+    indents = indentation(text)
+    return len(set(indents.tolist())) > 1 and period(indents) > 0.5
+
+
 def line_sorts(lines: list[str]) -> list[int]:
     """What each line is."""
     rows, entries = _delimited(lines), _entries(lines)
@@ -125,7 +168,7 @@ def line_sorts(lines: list[str]) -> list[int]:
             out.append(ROW if k and rows[k - 1] or k + 1 < len(rows) and rows[k + 1] else BLANK)
         elif entries[k] and (common < 0.34 * len(found) or not s.endswith((".", "!", "?")) and common < 0.45 * len(found)):
             out.append(LISTED)
-        elif (rows[k] or len(s) <= LONGEST and PAIRS.match(s)) and common <= 0.25 * len(found) and letters >= 0.35 * dense:
+        elif (rows[k] or PAIRS.match(s)) and common <= 0.25 * len(found) and letters >= 0.35 * dense:
             out.append(ROW if shapes[shape(s)] < 3 or any(c.isdigit() for c in s) else REMAINS)
         elif letters < 0.6 * dense or CODE.search(s) or FURNITURE.match(s) or shapes[shape(s)] >= 3 and len(found) <= 4 and len(lines) >= 4:
             out.append(REMAINS)
@@ -134,8 +177,8 @@ def line_sorts(lines: list[str]) -> list[int]:
     return out
 
 
-def sort_of(text: str, lower: list[str], common: float) -> str:
-    """``prose, list, table`` or ``junk``."""
+def sort_of(text: str, lower: list[str], common: float, shown: tuple[float, float, float]) -> str:
+    """``prose, list, table`` or ``junk``, by the sorts of the lines and the signals of the whole (see :func:`signals`)."""
     if len(text) < 5:
         return "prose"
     lines = text.split("\n")
@@ -150,6 +193,8 @@ def sort_of(text: str, lower: list[str], common: float) -> str:
     for s, kind in ((LISTED, "list"), (ROW, "table")):  # many short lines below a sentence or two
         if number[s] > 0.5 * sum(number[:4]) and weight[s] > 0.3 * whole:
             return kind
+    if weight[TEXT] > 0.5 * whole and shown[1] > 0.5 and _indented(lines, sorts):
+        return "list"
     if weight[TEXT] > 0.5 * whole:
         senseless = len(lower) >= 8 and common < 0.13 and sum(c > "\u02ff" for w in lower for c in w) <= 0.5 * sum(map(len, lower))  # other scripts have other words
         return "junk" if senseless or _stuck(lower) else "prose"
@@ -158,7 +203,7 @@ def sort_of(text: str, lower: list[str], common: float) -> str:
     if best == "junk" and kinds["junk"] < 0.5 * whole and kinds["table"] + kinds["list"] >= kinds["junk"]:
         best = max(("table", "list"), key=lambda k: kinds[k])
     lengths = np.array([len(x) for x, s in zip(lines, sorts) if s != BLANK], float)
-    if best == "list" and len(lengths) > 6 and common > 0.3 and autocorrelation(lengths) < 0 and np.median(lengths) > 0.85 * lengths.max():
+    if best == "list" and len(lengths) > 6 and common > 0.3 and shown[2] < 0 and np.median(lengths) > 0.85 * lengths.max():
         return "prose"  # wrapped lines that happen to begin like entries
     return best
 
@@ -173,8 +218,8 @@ def _stuck(lower: list[str]) -> bool:
     return same > 0.5 * len(lower)
 
 
-def statistics(text: str | None) -> tuple[int, float | None, float | None, float | None, float | None, str]:
-    """Words, mean word length, shares of symbols, of lines ending in punctuation and of common words, sort."""
+def statistics(text: str | None) -> tuple[int, float | None, float | None, float | None, float | None, str, float, float, float]:
+    """Words, mean word length, shares of symbols, of lines ending in punctuation and of common words, sort, the signals of the layout."""
     text = text or ""
     found = WORD.findall(text)
     lines = [x for x in (line.rstrip() for line in text.split("\n")) if x]
@@ -182,21 +227,23 @@ def statistics(text: str | None) -> tuple[int, float | None, float | None, float
     letters = sum(map(len, found))
     lower = [w.lower() for w in found]
     common = sum(map(COMMON.__contains__, lower)) / max(len(lower), 1)
+    shown = signals(lines)
     return (
         len(found),
         letters / len(found) if found else None,
         (dense - letters) / dense if dense else None,
         sum(x.endswith(END) for x in lines) / len(lines) if lines else None,
         common if found else None,
-        sort_of(text, lower, common),
+        sort_of(text, lower, common, shown),
+        *shown,
     )
 
 
 def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = list(zip(*map(statistics, batch.column("text").to_pylist()))) or [()] * 6
-        types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
-        names = ["words", "mean_word_length", "symbol_share", "line_end_share", "common_share", "sort"]
+        columns = list(zip(*map(statistics, batch.column("text").to_pylist()))) or [()] * 9
+        types = [pa.int64(), *[pa.float64()] * 4, pa.string(), *[pa.float64()] * 3]
+        names = ["words", "mean_word_length", "symbol_share", "line_end_share", "common_share", "sort", "aligned_share", "indent_period", "length_autocorrelation"]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
 
 

@@ -343,6 +343,30 @@ def test_sorts(text, sort):
     assert quality.statistics(text)[5] == sort
 
 
+def test_signals_of_layout():
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("winter garden copper little bridge early harbour paper with the from into over".split()) for _ in range(n))
+    table = [f"{say(1):<12}{rng.randrange(99):>6}   {say(1)}" for _ in range(12)]
+    nested = [line for _ in range(6) for line in (say(4), "    " + say(5), "    " + say(6))]
+    prose = [say(11) + "," for _ in range(12)]
+    assert quality.signals(table)[0] > 0.8 and quality.signals(prose)[0] < 0.2
+    assert quality.signals(nested)[1] > 0.7 and quality.signals(prose)[1] == quality.signals(["a"])[1] == 0.0
+    assert quality.statistics("\n".join(nested))[5] == "list" and quality.statistics("\n".join(prose))[5] == "prose"
+    falling = [say(30 - k) for k in range(20)]
+    assert quality.signals(falling)[2] > 0.5 > quality.signals([say(3 + 20 * (k % 2)) for k in range(20)])[2]
+
+
+def test_long_lines_are_read_whole():
+    import time
+
+    began = time.time()
+    entries = "\n".join(f"- {k} " + " ".join(f"part{j}x{k}" for j in range(900)) for k in range(6))
+    assert quality.statistics(entries)[5] == "list"
+    for hard in ("." * 200_000 + "x", ("a" + "...." * 20) * 3000, "a=b " * 50_000 + "c", " " * 200_000 + "x  " * 50_000):
+        quality.statistics("\n".join([hard] * 3))
+    assert time.time() - began < 20
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "One two.\nthree!"), (2, None), (None, "x" * 100_000), (4, "a,b\n" * 5)], "doc_id long, text string").withColumn("words", F.lit(1))
     got = {r["doc_id"]: r for r in quality.text_statistics(df).collect()}
