@@ -2,13 +2,14 @@
 
 Which swaps of code pages a source suffered is unknown, so each is treated as a substitution cipher: what
 stands in the text is a cipher symbol (a character, or the characters that one multi-byte letter became), and
-the plain letter depends on the swap. All symbols with their neighbours are counted over the corpus; expectation-
-maximization against letter bigrams learns, for each source, which letter each symbol stands for; the
-learned tables are applied with translate().
+the plain letter depends on the swap. All symbols with their neighbours are counted over the corpus, and so are the letter
+bigrams of the language, from the symbols that are single letters; expectation-maximization against the bigrams learns, source by source
+and each in a task of its own, which letter each symbol stands for; the learned tables are applied with translate().
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -19,25 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Code pages by which bytes are commonly misread, and single-byte pages that are misread as others (true page, wrong page).
+from scantling.session import cut
+
+# Code pages by which the bytes of UTF-8 are commonly misread, and single-byte pages, any of which may be misread as any other.
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15")
-SWAPS = (
-    ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "koi8-r"), ("cp1252", "cp1253"),
-    ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"),
-    ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1252"), ("cp1253", "cp1252"), ("cp1251", "mac_roman"), ("cp1253", "mac_roman"),
-)
-
-# Sound text from which letter bigrams are learned: a few sentences in several languages and the usual signs.
-SOUND = """
-I don’t think it’s late; we won’t, can’t and isn’t that’s they’re you’ll I’ve “Good morning” – she said – and ‘fine’ – that’s all… “Quiet day” – that’s what they said. “No”, “maybe” and “later” – yes. The “old road”, the “river”, a “new plan”. It costs €45 or £30, about 20 °C and 5 µg, ±2 apart. © 1998 Company. Name™ and brand® are §4 marks… The box™ and the car® are ±3 apart, the lamp™ of the firm®. ratio ½ — ok ☺ is fine, ¼ cup, 22½° and 45°, 3 × 4, 10–12 pages, naïve résumé, the façade, Zoë, café, crème brûlée.
-Die Prüfung über das Gerät wäre für den Schlüssel zu spät, schöne Grüße aus Köln. Das Gemälde, das Gebäude und die Straße gehören den Mädchen; größer, früher, Äpfel, Öl, Übung, Jürgen, Björn, müßte, heißt, weiß, können, hören, fünf, zwölf, natürlich. Schloß, Fuß. „Ja“, sagte er.
-À bientôt, le théâtre fermé dès 5 h, déjà vu. Le château et l’hôtel étaient près de la forêt; où êtes-vous? Ça va, très chic, naïf, démodé, élève, écrit, à été, garçon, Noël, Éric, Çelik, Çetin Çakır, Çınar, Ç. Élise, Étienne, É., cœur, sûr, être, même, reçu, répétiteur, dîner, événement, français, pièce, île, août. « Oui »
-La señora pidió piñatas y el niño llegó mañana. ¿Qué pasó? ¡Año nuevo! El camión, el jalapeño, él está aquí, más rápido, corazón, país, según, también, Ángel, Íñigo, Óscar, pingüino, otoño, montón.
-A feira de São João vende maçã e pão no galpão. Não há lições; coração, irmã, avó, português, você, três, às, órgão, época, ações, língua, número. Ação.
-Smörgåsbord og rødgrød på Ærø; blåbær, æble, også, år, mørk, Øresund, få, før, når, så, må, Åse, Grønland, Jørgen, Mårten, förälder. İstanbul.
-Привет, отчёт про рынок будет завтра. Добрый день, спасибо за письмо, завод и мост, вечером утром номер. Москва, Россия, объект, съезд, ещё, чай, жизнь, хорошо, большой, цена, щука, юг, яблоко, эта, фото, Это Юля Женя Что Где Как Когда Почему Мы Вы Они. Мир.
-Καλημέρα, η έκθεση είναι έτοιμη. Ευχαριστώ, η γέφυρα είναι κλειστή, η αγορά ανοιχτή, το αίτημα, ο δρόμος, ύψος, ώρα, ξένος, ψωμί, βιβλίο, ζωή, λόγος, Ελλάδα, Αθήνα, Άννα, Όλγα.
-Zażółć gęślą jaźń, łódź, świat, mężczyzna. Příliš žluťoučký kůň, čeština, děkuji. Magyar őszinte, űr, kő, tűz.
+SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp866", "koi8-r", "mac_roman")
+SWAPS = tuple(itertools.permutations(SINGLE, 2))
+
+# Sentences that hold all letters of a language, and usual signs: from them is learned which classes of characters follow each other. The letters
+# themselves are learned from the corpus.
+CLASSES = """
+Voix ambiguë d’un cœur qui au zéphyr préfère les jattes de kiwis. Dès Noël, où un zéphyr haï me vêt de glaçons würmiens, je dîne d’exquis rôtis de bœuf à l’aÿ d’âge mûr. Là, Île, Été, Ô, Ça, À Évian.
+Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich. Falsches Üben von Xylophonmusik quält jeden größeren Zwerg. Öde Äcker, Ängste, Über. „Gut“, sagte sie.
+El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia y frío, añoraba a su querido cachorro. ¿Quién? ¡Así! Ávila, Éibar, Ñandú, Úbeda.
+Luís argüia à Júlia que «brações, fé, chá, óxido, pôr, zângão» eram palavras do português. À noite, vovô Kowalsky vê o ímã cair no pé do pinguim queixoso. Órfão, Água.
+Quizdeltagerne spiste jordbær med fløde, mens cirkusklovnen Walther spillede på xylofon. Flygande bäckasiner söka hwila på mjuka tuvor. Høj bly gom vandt fræk sexquiz på wc. Ørn, Åben, Ær, Öland.
+Kæmi ný öxi hér, ykist þjófum nú bæði víl og ádrepa. Pijamalı hasta yağız şoföre çabucak güvendi. İzmir, Şile, Ağrı.
+Съешь же ещё этих мягких французских булок, да выпей чаю. В чащах юга жил бы цитрус? Да, но фальшивый экземпляр! Эх, Юра, Яна, Жора, Шура, Цирк, Щит, Ёлка, Он.
+Ξεσκεπάζω την ψυχοφθόρα βδελυγμία. Γαζέες και μυρτιές δεν θα βρω πια στο χρυσαφί ξέφωτο. Ήταν, Ώρα, Όχι, Άρα, Έλα, Ύστερα.
+Pchnąć w tę łódź jeża lub ośm skrzyń fig. Příliš žluťoučký kůň úpěl ďábelské ódy. Árvíztűrő tükörfúrógép. Łan, Źle, Šok, Čas, Őr.
+We didn’t know they’d left, so she’ll ask whether he’s been there; I’m sure you’ve seen it, and weren’t we told it couldn’t, wouldn’t, shouldn’t, doesn’t, hasn’t, aren’t? The dog’s bowl, the cats’ toys. “That’s mine”, he said, “and yours isn’t”. Well… who’d have thought – “nobody”, of course – that it’d end here… “Right”. Let’s go, what’s next.
+“Yes”, ‘no’ and “perhaps” – they’re all answers, aren’t they… It’s 5 € or £7; 20 °C and 3 µm, ±2, © 2001, the Thing™, the Other® — see §3, ½ cup, 2½ miles, 90°, 4 × 5, ☺ well, a naïve résumé, façade, café.
 """.strip()
 
 SHOW = re.compile(r"[^\x00-\x7f]+")
@@ -65,23 +68,44 @@ def kind(c: str) -> str:
 
 
 class Bigrams:
-    """Letter bigrams of sound text, smoothed by classes of characters."""
+    """Letter bigrams: how the classes of characters follow each other, and within a class the letters as the corpus has them.
+
+    ``counted`` has (letter, next letter, n) of the corpus. A letter that the corpus doesn't show shares what little weight its class has left.
+    """
 
-    def __init__(self, sound: str = SOUND):
-        text = " ".join(sound.split())
+    def __init__(self, counted: Iterable[tuple[str, str, int]] = (), classes: str = CLASSES, loose: float = 2.0):
+        text = " ".join(classes.split())
         plain = "".join(c.upper() if c.isascii() else c for c in text)  # as tools do that know ASCII only
         text = f" {text} {text.upper()} {plain} "
-        self.pairs, self.firsts = Counter(zip(text, text[1:])), Counter(text[:-1])
         self.kinds = Counter((kind(a), kind(b)) for a, b in zip(text, text[1:]))
         self.first_kinds = Counter(map(kind, text[:-1]))
-        self.size = Counter(kind(c) for c in set(text))
+        self.pairs: Counter = Counter()
+        self.within: Counter = Counter()
+        letters = set(text)
+        self.singles: Counter = Counter(c for c in text if ord(c) > 127)
+        for a, b, n in counted:
+            self.pairs[a, b] += n
+            self.within[a, kind(b)] += n
+            self.singles[b] += n
+            letters.update((a, b))
+        self.of_kind: Counter = Counter()
+        for c, n in self.singles.items():
+            self.of_kind[kind(c)] += n
+        self.size = Counter(map(kind, letters))
+        self.loose = loose
+        self.known: dict[tuple[str, str], float] = {}
 
     def __call__(self, a: str, b: str) -> float:
         """log P(b | a)"""
-        ka, kb = kind(a), kind(b)
-        classes = (self.kinds[ka, kb] + 0.02) / (self.first_kinds[ka] + 1.0) / (self.size[kb] + 1.0)
-        letters = (self.pairs[a, b] + 4.0 * classes) / (self.firsts[a] + 4.0)
-        return float(np.log(max(letters, 1e-9)))
+        value = self.known.get((a, b))
+        if value is None:
+            ka, kb = kind(a), kind(b)
+            classes = (self.kinds[ka, kb] + 0.02) / (self.first_kinds[ka] + 1.0)
+            single = (self.singles[b] + 0.5) / (self.of_kind[kb] + 0.5 * self.size[kb] + 1.0) if ord(b) > 127 else 1.0 / (self.size[kb] + 1.0)
+            letter = (self.pairs[a, b] + self.loose * single) / (self.within[a, kb] + self.loose)
+            strange = kb == "o" and not self.singles[b]  # a letter of a script that the corpus doesn't have
+            value = self.known[a, b] = float(np.log(max(classes * letter * (1e-6 if strange else 1.0), 1e-15)))
+        return value
 
 
 @lru_cache(maxsize=65536)
@@ -179,53 +203,67 @@ def score(bigrams: Bigrams, before: str, symbol: str, after: str) -> np.ndarray:
     return out
 
 
-def learn(counted: list[tuple[str, str, str, str, int]], rounds: int = 12) -> dict[tuple[str, str, str, str], np.ndarray]:
-    """Expectation-maximization over counted contexts (source, before, symbol, after, n): log-odds of every swap in each context.
+def swaps_of(symbol: str) -> list[int]:
+    """The swaps under which a symbol stands for something."""
+    return sorted(letters_of(symbol))
+
+
+def learn(bigrams: Bigrams, counted: list[tuple[str, str, str, int]], rounds: int = 12) -> dict[str, dict[int, float]]:
+    """Expectation-maximization over the counted contexts (before, symbol, after, n) of a source: for each symbol the log of its chances of the swaps.
 
-    The tables are the chances of the swaps for each symbol of a source, drawn to those of the source as a whole.
+    The chances of a symbol are drawn to those of the source as a whole.
     """
-    bigrams = Bigrams()
     if not counted:
         return {}
-    like = np.array([score(bigrams, b, s, a) for _, b, s, a, _ in counted])
-    n = np.array([x[4] for x in counted], float)
-    source_of = {s: k for k, s in enumerate(sorted({x[0] for x in counted}))}
-    symbol_of = {s: k for k, s in enumerate(sorted({(x[0], x[2]) for x in counted}))}
-    source = np.array([source_of[x[0]] for x in counted])
-    symbol = np.array([symbol_of[x[0], x[2]] for x in counted])
-    home = np.zeros(len(symbol_of), int)
-    home[symbol] = source
-    prior = np.full((len(source_of), HYPOTHESES), 0.1 / (HYPOTHESES - 1))
-    prior[:, 0] = 0.9
-    table = prior[home]
+    like = np.array([score(bigrams, b, s, a) for b, s, a, _ in counted])
+    n = np.array([x[3] for x in counted], float)
+    symbols_here = sorted({x[1] for x in counted})
+    number = {s: k for k, s in enumerate(symbols_here)}
+    symbol = np.array([number[x[1]] for x in counted])
+    prior = np.full(HYPOTHESES, 0.1 / (HYPOTHESES - 1))
+    prior[0] = 0.9
+    chances = np.tile(prior, (len(number), 1))
     for _ in range(rounds):
-        odds = like + np.log(table[symbol])
+        odds = like + np.log(chances[symbol])
         post = np.exp(odds - odds.max(axis=1, keepdims=True))
         post *= (n / post.sum(axis=1))[:, None]
-        totals = np.zeros_like(prior)
-        np.add.at(totals, source, post)
-        prior = (totals + 1.0) / (totals + 1.0).sum(axis=1, keepdims=True)
-        sums = np.zeros_like(table)
+        prior = (post.sum(axis=0) + 1.0) / (post.sum() + HYPOTHESES)
+        sums = np.zeros_like(chances)
         np.add.at(sums, symbol, post)
-        table = sums + 4.0 * prior[home]
-        table /= table.sum(axis=1, keepdims=True)
-    odds = like + np.log(table[symbol])
-    return {x[:4]: o for x, o in zip(counted, odds)}
-
-
-def decisions(odds: dict[tuple[str, str, str, str], np.ndarray]) -> dict[tuple[str, str, str, str], tuple[str, float]]:
-    """For each context the best plain text other than the symbol itself, and by how much it beats it."""
-    out = {}
-    for key, o in odds.items():
-        if len(letters_of(key[2])) == 1:
-            out[key] = ("", 5.0) if kind(key[2]) == "t" or key[2] == LOST else ("", -5.0)
-            continue
-        best = int(np.argmax(o[1:])) + 1
-        out[key] = (letters_of(key[2])[best], float(o[best] - o[0]))
-    return out
-
-
-def restore(text: str, source: str, known: dict[tuple[str, str, str, str], tuple[str, float]]) -> tuple[bool, str]:
+        chances = sums + 4.0 * prior
+        chances /= chances.sum(axis=1, keepdims=True)
+    logs = np.log(chances)
+    return {s: {h: float(logs[k, h]) for h in swaps_of(s)} for s, k in number.items()}
+
+
+class Decoder:
+    """Decides symbols in their contexts by the bigrams and the learned chances of (source, symbol)."""
+
+    def __init__(self, bigrams: Bigrams, chances: dict[tuple[str, str], dict[int, float]]):
+        self.bigrams, self.chances = bigrams, chances
+        self.known: dict[tuple[str, str, str, str], tuple[str, float]] = {}
+
+    def __call__(self, source: str, before: str, symbol: str, after: str) -> tuple[str, float]:
+        """The best plain text of a symbol other than itself, and by how much it beats it."""
+        key = (source, before, symbol, after)
+        found = self.known.get(key)
+        if found is None:
+            letters = letters_of(symbol)
+            if len(letters) == 1:
+                found = ("", 5.0) if kind(symbol) == "t" or symbol == LOST else ("", -5.0)
+            else:
+                odds = score(self.bigrams, before, symbol, after)
+                for h, chance in self.chances[source, symbol].items():
+                    odds[h] += chance
+                best = int(np.argmax(odds[1:])) + 1
+                found = (letters[best], float(odds[best] - odds[0]))
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[key] = found
+        return found
+
+
+def restore(text: str, source: str, decide: Decoder) -> tuple[bool, str]:
     """Whether the text holds a wrongly decoded passage, and the text with all restored that can be."""
     found = contexts(text)
     if not found:
@@ -233,7 +271,7 @@ def restore(text: str, source: str, known: dict[tuple[str, str, str, str], tuple
     gain, plain = defaultdict(float), {}
     wrong = False
     for _, _, before, s, after in found:
-        letter, by = known[source, before, s, after]
+        letter, by = decide(source, before, s, after)
         gain[s] += by
         plain.setdefault(s, Counter())[letter] += 1
         wrong |= by > 0 and not letter
@@ -260,10 +298,24 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(seen.values()), pa.int64())], names=["source", "before", "symbol", "after", "n"])
 
 
-def _apply(known: dict) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _learn(bigrams: list[tuple[str, str, int]]) -> Callable[[pa.Table], pa.Table]:
+    shape = pa.schema([("source", pa.string()), ("symbol", pa.string()), ("swap", pa.int32()), ("chance", pa.float64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("before", "ascending"), ("symbol", "ascending"), ("after", "ascending")])
+        counted = [(b, s, a, n) for b, s, a, n in zip(*(rows[c].to_pylist() for c in ("before", "symbol", "after", "n"))) if len(letters_of(s)) > 1]
+        learned = learn(Bigrams(bigrams), counted)
+        source = rows["source"][0].as_py()
+        return pa.Table.from_pylist([{"source": source, "symbol": s, "swap": h, "chance": c} for s, every in learned.items() for h, c in every.items()], schema=shape)
+
+    return run
+
+
+def _apply(bigrams: list[tuple[str, str, int]], chances: dict) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = Decoder(Bigrams(bigrams), chances)
         for batch in batches:
-            done = [restore(t, s, known) for s, t in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist())]
+            done = [restore(t, s, decide) for s, t in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist())]
             keep = pa.array([d[0] for d in done], pa.bool_())
             out = batch.select(["dataset", "sample_id"]).append_column("restored", pa.array([d[1] for d in done], pa.string()))
             yield out.filter(keep)
@@ -271,14 +323,31 @@ def _apply(known: dict) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def language(counted: DataFrame) -> list[tuple[str, str, int]]:
+    """Bigrams of the corpus that hold a letter or sign beyond ASCII: (letter, next letter, n). What came of a letter of several bytes is no letter and left out.
+
+    At most the square of the alphabets of the scripts with case, some hundred thousand pairs at the utmost, whatever the number of texts.
+    """
+    one = counted.where((F.length("symbol") == 1) & F.col("symbol").rlike(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsCommon}]"))
+    ahead = one.where(F.length("before") == 1).select(F.col("before").alias("a"), F.col("symbol").alias("b"), "n")
+    behind = one.where(F.col("after").rlike(r"^[\x00-\x7f]$")).select(F.col("symbol").alias("a"), F.col("after").alias("b"), "n")
+    rows = ahead.unionByName(behind).groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy("a", "b")
+    return [(r["a"], r["b"], r["n"]) for r in rows.collect()]
+
+
 def garbled(texts: DataFrame) -> DataFrame:
     """``dataset, sample_id, restored`` of the records of ``dataset, sample_id, source, text`` that hold a wrongly decoded passage.
 
     ``restored`` has every symbol put right whose letter is known; replacement characters stay. Null and empty
-    texts are sound, a null source is a source of its own. The table of contexts that the driver gets is
-    bounded by the alphabets (symbols and neighbours), not by the rows; it's counted over all texts.
+    texts are sound, a null source is a source of its own. Contexts are counted over all texts and stay distributed; a task learns a
+    source from its distinct contexts. The driver gets the bigrams, see :func:`language`, and what was learned: the chances of the few swaps of
+    each symbol of a source, some kilobytes a source.
     """
     shown = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("dataset", F.col("sample_id").cast("long").alias("sample_id"), F.concat_ws("|", "dataset", F.coalesce("source", F.lit(""))).alias("source"), "text")
-    counted = shown.mapInArrow(_count, "source string, before string, symbol string, after string, n long").groupBy("source", "before", "symbol", "after").agg(F.sum("n").alias("n"))
-    known = decisions(learn([tuple(r) for r in counted.orderBy("source", "before", "symbol", "after").collect()]))
-    return shown.mapInArrow(_apply(known), "dataset string, sample_id long, restored string")
+    counted = cut(shown.mapInArrow(_count, "source string, before string, symbol string, after string, n long").groupBy("source", "before", "symbol", "after").agg(F.sum("n").alias("n")))
+    bigrams = language(counted)
+    learned = counted.groupBy("source").applyInArrow(_learn(bigrams), "source string, symbol string, swap int, chance double")
+    chances: dict[tuple[str, str], dict[int, float]] = {}
+    for r in learned.collect():
+        chances.setdefault((r["source"], r["symbol"]), {})[r["swap"]] = r["chance"]
+    return shown.mapInArrow(_apply(bigrams, chances), "dataset string, sample_id long, restored string")
