@@ -1,4 +1,4 @@
-"""Exact forms of personal details: they label the training sample, and check and trim what the tagger found."""
+"""Exact forms of personal details: they label the training sample, and nothing else."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 
-KINDS = ("email", "phone", "identity", "address", "person")
 
 # Words by which forms are told apart.
 STREETS = "street|st|road|rd|lane|ln|avenue|ave|court|ct|close|terrace|crescent|boulevard|blvd|drive|dr|way|place|square|grove|hill|gardens|row|walk|parade|mews|quay"
@@ -71,6 +70,9 @@ class Names:
         middle = rf"(?:{W}[^\W\d_]\.)?"
         self.person = re.compile(rf"(?<![\w.@+/-])(?:{first}{middle}{W}(?:{f})|(?:{f}),{W}{first}(?:{W}[^\W\d_]\.)?|(?:{f}){W}(?:{g}))(?![\w@]|[.+-]\w|{W}(?:{COMPANIES}|{STREETS})\b)", re.I)
 
+    def __contains__(self, name: str) -> bool:
+        return name in self.given or name in self.family
+
     @staticmethod
     def _grown(names: set[str], least: int = 4) -> set[str]:
         """Names and all stem + ending combinations of stems and endings that many of them share."""
