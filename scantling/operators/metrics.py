@@ -32,6 +32,16 @@ def ranking_metrics(scores: DataFrame, by: list[str], max_fpr: float = 0.01, tim
     return sums.select(*by, (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("n_pos"), F.when(both, F.col("_area") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.when(both, F.col("_tp") / F.col("pos")).alias("recall"))
 
 
+def areas(scores: DataFrame, by: list[str], times: Column | int = 1) -> DataFrame:
+    """``by, auroc`` alone, as in :func:`ranking_metrics`, with one window and no more."""
+    many = times if isinstance(times, Column) else F.lit(times)
+    side = lambda y: F.sum(F.when(F.col("y") == y, many).otherwise(0))
+    tied = scores.groupBy(*by, "score").agg(side(1).alias("p"), side(0).alias("q"))
+    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = tied.withColumn("_tp", F.sum("p").over(down)).groupBy(*by).agg(F.sum(F.col("q") * (F.col("_tp") - F.col("p") / F.lit(2.0))).alias("_area"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    return summed.select(*by, F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_area") / (F.col("_p") * F.col("_q"))).alias("auroc"))
+
+
 def auroc(y: np.ndarray, score: np.ndarray, weight: np.ndarray | None = None) -> float:
     """Area under the curve by average ranks; NaN with one class. ``weight``: how often each row counts."""
     return _curve(y, score, weight)[0]
@@ -63,6 +73,32 @@ def _curve(y: np.ndarray, score: np.ndarray, weight: np.ndarray | None = None, m
     return area, float(tp[within].max(initial=0.0) / tp[-1])
 
 
+def curves(y: np.ndarray, score: np.ndarray, weights: np.ndarray, max_fpr: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Area and recall as in :func:`auroc` and :func:`recall_at`, for each row of ``weights`` (draws x rows); NaN where a draw has one class."""
+    order = np.argsort(-np.asarray(score, float), kind="stable")
+    y, score, weights = np.asarray(y)[order], np.asarray(score, float)[order], weights[:, order]
+    if not len(y):
+        return np.full(len(weights), np.nan), np.full(len(weights), np.nan)
+    first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+    p, q = (np.add.reduceat(weights * (y == label), first, axis=1).astype(float) for label in (1, 0))
+    tp, fp = np.cumsum(p, axis=1), np.cumsum(q, axis=1)
+    up, down = tp[:, -1:], fp[:, -1:]
+    some = p + q > 0  # points of the curve; scores that a draw lacks are none
+    n = p.shape[1]
+    at = np.where(some, np.arange(n), n)
+    after = np.concatenate([np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, 1:], np.full((len(p), 1), n)], axis=1)
+    ahead = np.minimum(after, n - 1)
+    bends = (after == n) | (at == at.min(axis=1, keepdims=True)) | (some.sum(axis=1, keepdims=True) <= 2)
+    bends |= (p != np.take_along_axis(p, ahead, 1)) | (q != np.take_along_axis(q, ahead, 1))
+    within = some & bends & (fp <= max_fpr * down)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        area = (q * (tp - p / 2)).sum(axis=1) / (up * down)[:, 0]
+        recall = np.where(within, tp, 0.0).max(axis=1) / up[:, 0]
+    lacking = (up[:, 0] == 0) | (down[:, 0] == 0)
+    area[lacking] = recall[lacking] = np.nan
+    return area, recall
+
+
 METRICS: dict[str, Callable[..., float]] = {"auroc": auroc, "recall_at_1pct_fpr": recall_at}
 
 
@@ -75,6 +111,10 @@ def efficiency_index(recall_by_k: dict[int, float], ks: list[int]) -> float:
     return sum((b - a) * (u + v) / 2 for (a, u), (b, v) in zip(points, points[1:])) / width if width else 0.0
 
 
+#: Weights that the bootstrap holds at a time.
+BLOCK = 1_000_000
+
+
 def bootstrap_difference(y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str, draws: int, seed: int, strict: bool = False) -> dict[str, float]:
     """Paired bootstrap of metric(a) - metric(b).
 
@@ -88,8 +128,12 @@ def bootstrap_difference(y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: st
     f = METRICS[metric]
     rng = np.random.default_rng(seed)
     n = len(y)
-    weights = (np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(draws))
-    d = np.array([f(y, a, w) - f(y, b, w) for w in weights])
+    which, d = list(METRICS).index(metric), []
+    step = max(1, BLOCK // max(n, 1))  # draws at a time: bounds the memory
+    for begin in range(0, draws, step):
+        weights = np.stack([np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(min(step, draws - begin))])
+        d.append(curves(y, a, weights)[which] - curves(y, b, weights)[which])
+    d = np.concatenate(d) if d else np.zeros(0)
     if strict:
         d = d[~np.isnan(d)]
     some = d[~np.isnan(d)]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from scantling.sources.schemas import METRICS
 
+# The columns of the report tables, in their order.
 KEYS = ("scorer", "k", "balance_mode", "model", "layer", "dataset")
 AVERAGED = (*METRICS, "wall_clock_s")
 SELECTABLE = tuple(f"{m}_mean" for m in METRICS if not m.startswith("ood"))

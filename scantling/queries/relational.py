@@ -35,10 +35,11 @@ def flt_1(spark: SparkSession, d: str) -> DataFrame:
     return confident(surrogate_difference(table(spark, d, "enron")), threshold=0.25).select("sample_id", "label")
 
 
-@query("flt_2", f"with kept as ({SPLIT_ROWS}) select sample_id, label from enron where sample_id in (select sample_id from kept where model = 'orrin/lumen-4b' and dataset = 'enron')")
+@query("flt_2", f"with kept as ({SPLIT_ROWS}) select distinct model, e.sample_id, label from enron e join kept k on k.sample_id = e.sample_id where dataset = 'enron'")
 def flt_2(spark: SparkSession, d: str) -> DataFrame:
-    keys = split_rows(spark, d).where("model = 'orrin/lumen-4b' and dataset = 'enron'").select("sample_id")
-    return table(spark, d, "enron").select("sample_id", "label").join(keys, "sample_id", "left_semi")
+    """The mails that each model kept."""
+    keys = split_rows(spark, d).where("dataset = 'enron'").select("model", "sample_id").distinct()
+    return keys.join(table(spark, d, "enron").select("sample_id", "label"), "sample_id").select("model", "sample_id", "label")
 
 
 @query("flt_3", "select sample_id, label from enron")
@@ -159,15 +160,15 @@ def agg_5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg_6",
-    f"""with s as ({SPLIT_ROWS}), l as (select s.*, e.label from s join enron e using (sample_id) where dataset = 'enron')
+    f"""with s as ({SPLIT_ROWS}), labels as (select 'enron' as dataset, sample_id, label from enron union all select 'mask', sample_id, label from mask), l as (select s.*, x.label from s join labels x using (dataset, sample_id))
 select model, dataset, count(*) as n_total, count(*) filter (label = 1) as n_pos_total, count(*) filter (label = 0) as n_neg_total,
 count(*) filter (split = 'train_pool') as train_pool_size, count(*) filter (split = 'eval') as eval_size, count(*) filter (split = 'test') as test_size,
 count(*) filter (split = 'eval' and label = 1) as eval_pos, count(*) filter (split = 'eval' and label = 0) as eval_neg,
 count(*) filter (split = 'test' and label = 1) as test_pos, count(*) filter (split = 'test' and label = 0) as test_neg from l group by model, dataset""",
 )
 def agg_6(spark: SparkSession, d: str) -> DataFrame:
-    rows = split_rows(spark, d).where("dataset = 'enron'").join(table(spark, d, "enron").select("sample_id", "label"), "sample_id")
-    return split_counts(rows, ["model", "dataset"])
+    labels = [table(spark, d, t).select(F.lit(t).alias("dataset"), "sample_id", "label") for t in ("enron", "mask")]
+    return split_counts(split_rows(spark, d).join(labels[0].unionByName(labels[1]), ["dataset", "sample_id"]), ["model", "dataset"])
 
 
 @query("agg_7", f"select round(avg({DIFF}), 6) as mean_kept from enron where text is not null and case when label = 1 then {DIFF} else -({DIFF}) end > 0")
@@ -180,13 +181,14 @@ def agg_10(spark: SparkSession, d: str) -> DataFrame:
     return reports.wins(reports.decisions(best(spark, d)))
 
 
-@query(
-    "agg_11",
-    f"""with {DECIDED} select scorer, count(*) filter (dataset = 'enron' and model = 'orrin/lumen-4b') as "enron|orrin/lumen-4b",
-count(*) filter (dataset = 'mask' and model = 'orrin/lumen-4b') as "mask|orrin/lumen-4b" from decided group by scorer""",
-)
+@query("agg_11", f"with {DECIDED}, cells as (select distinct dataset, model from decided), scorers as (select distinct scorer from decided) select scorer, dataset, model, (select count(*) from decided d where d.scorer = s.scorer and d.dataset = c.dataset and d.model = c.model) as wins from scorers s, cells c")
 def agg_11(spark: SparkSession, d: str) -> DataFrame:
-    return reports.win_matrix(reports.wins(reports.decisions(best(spark, d))), ["enron|orrin/lumen-4b", "mask|orrin/lumen-4b"])
+    """The win matrix of all models, unpivoted: 0 where a scorer has no win."""
+    won = reports.wins(reports.decisions(best(spark, d)))
+    cells = [r["cell"] for r in won.select(F.concat_ws("|", "dataset", "model").alias("cell")).distinct().orderBy("cell").collect()]  # columns of a report
+    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, cells)), F.array(*(F.col(f"`{c}`") for c in cells)))).alias("cell", "wins")
+    parts = F.split("cell", r"\|", 2)
+    return reports.win_matrix(won, cells).select("scorer", pairs).select("scorer", parts[0].alias("dataset"), parts[1].alias("model"), "wins")
 
 
 @query("agg_12", f"with {BEST} select k, scorer, dataset, round(avg(test_recall_at_1pct_fpr_mean), 6) as mean, round(stddev_samp(test_recall_at_1pct_fpr_mean), 6) as std, count(test_recall_at_1pct_fpr_mean) as n from best group by all")

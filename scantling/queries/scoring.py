@@ -11,7 +11,7 @@ from scantling.operators.sampling import draws
 from scantling.plans import pipeline
 from scantling.plans.config import Config
 from scantling.queries import query, scratch
-from scantling.queries.sampling import DRAWN, HELD, KS, MODES, SEEDS, base, placed, pool, resampled
+from scantling.queries.sampling import DRAWN, HELD, KS, MODES, PLACED, SEEDS, base, placed, pool, resampled
 from scantling.queries.sources import split_rows
 from scantling.session import cut, table
 from scantling.sources import store
@@ -170,8 +170,11 @@ diffs as (select b, layer, k, seed, balance_mode, max(case when scorer = 'P2_mas
 )
 def met_4(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of AUROC between the closed forms in every cell, drawn by hash, wholly as a plan: draws weigh rows, which are counted by score."""
-    rows = cut(scored(spark, d).where("split = 'test'")).join(resampled(spark, d), "sample_id")
-    each = metrics.ranking_metrics(rows, [*CELLS, "b", "scorer"], times=F.col("times"))
+    series = F.xxhash64(*CELLS, "scorer").alias("series")
+    rows = cut(scored(spark, d).where("split = 'test'").select(*CELLS, "scorer", "sample_id", "y", "score", series))
+    names = rows.select("series", *CELLS, "scorer").distinct()  # a row for each cell and scorer
+    slim = rows.select("series", "sample_id", "y", "score").join(resampled(spark, d), "sample_id")
+    each = metrics.areas(slim, ["series", "b"], F.col("times")).join(F.broadcast(names), "series")
     a, b = (F.max(F.when(F.col("scorer") == s, F.col("auroc"))) for s in CLOSED)
     diff = each.groupBy(*CELLS, "b").agg((a - b).alias("d"))
     side = lambda c: F.avg(F.coalesce(c.cast("int"), F.lit(0)))
@@ -298,3 +301,66 @@ def fn_23(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the Mahalanobis scorer as predictions."""
     rows = _swept(spark, d, ["P7_mahalanobis"])[1]
     return rows.where("split <> '_seconds'").withColumn("score", F.round("score", 6))
+
+
+# The fitted scorers on vectors of one value, where SQL can express them.
+
+
+def _lined(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Scores of a fitted scorer on the first value of the embeddings, for every sample."""
+    cell = [F.lit("m").alias("model"), F.lit("line").alias("dataset")]
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.slice("embedding", 1, 1).alias("x")).join(base(spark, d), "sample_id").select(*cell, F.lit("base").alias("mode"), F.lit(0).alias("layer"), "sample_id", "label", "x")
+    splits = placed(spark, d).select(*cell, "split", "sample_id", "label")
+    runs = scorers.wanted(vecs.select("model", "dataset", "mode", "layer").distinct(), [name], KS, SEEDS, MODES)
+    models, scores = pipeline.sweep_scores(vecs, splits, runs, draws(splits.where("split = 'train_pool'"), ["model", "dataset"], KS, SEEDS))
+    return scores.where("split <> '_seconds'").join(models.select("run_id", "k", "seed", "balance_mode"), "run_id").select("k", "seed", "balance_mode", "split", "sample_id", F.round("score", 5).alias("score"))
+
+
+LINE = f"""{DRAWN}, line as (select vec_id as id, embedding[1]::double as v from embeddings), train as (select k, seed, balance_mode, y, v from drawn join line using (id)),
+held_line as (select id, split, v from placed join line using (id) where split <> 'train_pool'),
+side as (select k, seed, balance_mode, count(*) as n, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(v) filter (y = 1) as m1, avg(v) filter (y = 0) as m0,
+  coalesce(var_pop(v) filter (y = 1), 0) as s1, coalesce(var_pop(v) filter (y = 0), 0) as s0 from train group by all)"""
+_OUT = "k, seed, balance_mode, split, id as sample_id"
+
+
+@query("scr_7_line", f"with {LINE} select {_OUT}, round(case when s0 > 0 then abs(v - m0) / sqrt(s0) else 0 end, 5) as score from side, held_line where n0 >= 2")
+def scr_7_line(spark: SparkSession, d: str) -> DataFrame:
+    return _lined(spark, d, "P7_mahalanobis")
+
+
+@query("scr_3_line", f"with {LINE}, pooled as (select *, (n1 * s1 + n0 * s0) / n as s from side where n > 2 and n1 > 0 and n0 > 0) select {_OUT}, round(v * (m1 - m0) / s - 0.5 * (m1 * m1 - m0 * m0) / s + ln(n1::double / n0), 5) as score from pooled, held_line")
+def scr_3_line(spark: SparkSession, d: str) -> DataFrame:
+    return _lined(spark, d, "P3_lda")
+
+
+def _newton(rounds: int = 14) -> str:
+    """Newton's steps for the logistic scorer of one value, one after the other."""
+    out = ["fit0 as (select k, seed, balance_mode, 0.0::double as w, 0.0::double as b from side where n1 > 0 and n0 > 0)"]
+    for i in range(rounds):
+        out.append(
+            f"""grad{i} as (select k, seed, balance_mode, any_value(w) as w, any_value(b) as b, sum((p - y) * v) + any_value(w) as gw, sum(p - y) as gb, sum(p * (1 - p) * v * v) + 1 as hww, sum(p * (1 - p) * v) as hwb, sum(p * (1 - p)) + 1e-10 as hbb
+  from (select *, 1 / (1 + exp(-(w * v + b))) as p from train join fit{i} using (k, seed, balance_mode)) group by k, seed, balance_mode),
+fit{i + 1} as (select k, seed, balance_mode, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb) as w, b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) as b from grad{i})"""
+        )
+    return ",\n".join(out) + f",\nfitted as (select * from fit{rounds})"
+
+
+@query("scr_1_line", f"with {LINE}, {_newton()} select {_OUT}, round(1 / (1 + exp(-(w * v + b))), 5) as score from fitted, held_line")
+def scr_1_line(spark: SparkSession, d: str) -> DataFrame:
+    return _lined(spark, d, "P1_logistic")
+
+
+_GRID = f"""{PLACED}, ranked as (select y, k, seed, row_number() over (partition by k, seed, y order by md5(seed || '|' || k || '|' || id), id) as r from placed, (values {", ".join(f"({k})" for k in FULL.ks)}) k(k), range({FULL.seeds}) s(seed) where split = 'train_pool'),
+counts as (select k, seed, count(*) filter (y = 1) as pool_pos, count(*) filter (y = 0) as pool_neg from ranked group by all having count(*) filter (y = 1) >= k),
+sizes_of as (select k, seed, b as balance_mode, k as n_train_pos, case when b = 'balanced' then least(k, pool_neg) else pool_neg end as n_train_neg from counts, (values ('balanced'), ('imbalanced')) m(b)),
+methods as (select * from (values ('P1_logistic'), ('P2_mass_mean'), ('P3_lda'), ('P4_cosine'), ('P6_prompted'), ('P7_mahalanobis'), ('P8_followup')) t(scorer)),
+grid as (select *, scorer = 'P3_lda' and n_train_pos + n_train_neg <= 2 or scorer = 'P7_mahalanobis' and n_train_neg < 2 as error from sizes_of, methods, range(4) l(layer))"""
+
+
+@query(
+    "sweep_grid",
+    f"with {_GRID} select 'm_e__even__' || scorer || '__layer' || layer || '__k' || k || '__seed' || seed || '__' || balance_mode as run_id, scorer, layer::int as layer, k::int as k, seed::int as seed, balance_mode, n_train_pos::int as n_train_pos, n_train_neg::int as n_train_neg, error, case when error then 'ValueError' end as error_type from grid",
+)
+def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All runs of the sweep over the embeddings: sizes of their samples, and which can't be fitted."""
+    return _swept(spark, d, list(scorers.REGISTRY))[0].select("run_id", "scorer", "layer", "k", "seed", "balance_mode", "n_train_pos", "n_train_neg", "error", "error_type")

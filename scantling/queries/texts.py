@@ -100,15 +100,35 @@ def fn_14(spark: SparkSession, d: str) -> DataFrame:
     return surrogate_difference(table(spark, d, "sms").where("text is not null")).select("sample_id", "logit_diff")
 
 
-@query("fn_15", r"select sample_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:16] as tokens from sms where text is not null")
+@query("fn_15", r"select sample_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:512] as tokens from sms where text is not null")
 def fn_15(spark: SparkSession, d: str) -> DataFrame:
-    return token_rows(table(spark, d, "sms").where("text is not null"), most=16).select("sample_id", "tokens")
+    return token_rows(table(spark, d, "sms").where("text is not null")).select("sample_id", "tokens")
 
 
-@query("fn_16")
+WIDTH = 32
+
+
+def _encoded_sql(text: str, start: str = "0") -> str:
+    """Vectors of the built-in encoder at layers 0 and 1: mean of the values of the tokens from a start on."""
+    return f"""with parts as (select sample_id, label, list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')[1:512] as t from sms),
+kept as (select sample_id, label, t[greatest(least({start}, len(t) - 1), 0) + 1:] as t from parts),
+words as (select sample_id, unnest(t) as w from kept), hashes as (select distinct w, layer, k, md5(w || '|' || layer || '|' || k) as h from words, range(2) l(layer), range({WIDTH // 8}) x(k)),
+values_of as (select w, layer, k * 8 + j as i, (cast('0x' || substr(h, j * 4 + 1, 4) as bigint) % 2048 - 1024) / 1024.0::double as v from hashes, range(8) y(j)),
+means as (select sample_id, layer, i, (sum(v) / count(*))::float as v from words join values_of using (w) group by sample_id, layer, i),
+rows_of as (select sample_id, layer, list(v order by i) as x from means group by sample_id, layer)
+select sample_id, label, l.layer::int as layer, coalesce(x, list_transform(range({WIDTH}), lambda i: 0::float)) as x from kept cross join range(2) l(layer) left join rows_of using (sample_id, layer)"""
+
+
+@query("fn_16", _encoded_sql(f"{quoted(prompts.PREFIX['spam'])} || coalesce(text, '')").replace("|| coalesce(text, '')", "|| text"))
 def fn_16(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the messages at two layers, by the built-in encoder."""
-    return encoded(table(spark, d, "sms"), "sms", "prompted", [0, 1], hashed(8, 64))
+    return encoded(table(spark, d, "sms"), "sms", "prompted", [0, 1], hashed(WIDTH))
+
+
+@query("fn_19", _encoded_sql("text", "sample_id % 7"))
+def fn_19(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors pooled from a token on, another for each message."""
+    return encoded(table(spark, d, "sms"), "sms", "base", [0, 1], hashed(WIDTH), F.col("sample_id") % 7)
 
 
 @query("fn_18", "select sample_id, list_transform(range(8), lambda i: case when i >= least(greatest(sample_id % 11 - 1, 0), 1 + sample_id % 8 - 1) and i < 1 + sample_id % 8 then 1 else 0 end) as mask from sms")

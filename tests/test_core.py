@@ -77,6 +77,16 @@ def test_weights_are_repeats():
     assert metrics.recall_at(y, s, w, 0.2) == pytest.approx(metrics.recall_at(np.repeat(y, w), np.repeat(s, w), None, 0.2))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 5)), min_size=1, max_size=25), st.integers(0, 1000))
+def test_curves_of_draws_are_curves(rows, seed):
+    y, s = np.array([a for a, _ in rows]), np.array([float(b) for _, b in rows])
+    weights = np.random.default_rng(seed).integers(0, 3, (6, len(y)))
+    area, recall = metrics.curves(y, s, weights, 0.3)
+    for k, w in enumerate(weights):
+        assert area[k] == pytest.approx(metrics.auroc(y, s, w), nan_ok=True) and recall[k] == pytest.approx(metrics.recall_at(y, s, w, 0.3), nan_ok=True)
+
+
 def test_bootstrap_variants():
     y = np.array([1, 0, 0, 0, 0, 0])
     a, b = np.array([0.9, 0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.1, 0.9, 0.2, 0.3, 0.4, 0.5])
@@ -350,6 +360,26 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert (tmp_path / "r" / "significance_eval").exists()
 
 
+def test_encoder(spark):
+    from types import SimpleNamespace
+
+    from scantling.plans import encode
+
+    rows = encode.hashed(10, 3)()(["a b c d", "", "b"], [0, 2])
+    assert rows[0][0] == pytest.approx(np.mean([encode.token_values(t, 0, 10) for t in "abc"], axis=0), abs=1e-6) and not rows[2][1].any()
+    assert encode.hashed(10)()(["a b c"], [1], [7])[1][0] == pytest.approx(encode.token_values("c", 1, 10))
+    df = spark.createDataFrame([(1, "a b", 1), (2, None, 0)], "sample_id long, text string, label int")
+    got = encode.vectors(df, "enron", "base", [0], encode.hashed(4), F.lit(1)).collect()
+    assert {r["sample_id"]: list(r["x"]) for r in got} == {1: list(encode.token_values("b", 0, 4)), 2: [0.0] * 4}
+    assert encode.layers_of(SimpleNamespace(transformer=SimpleNamespace(h=[1, 2]))) == [1, 2]
+    with pytest.raises(ValueError):
+        encode.layers_of(SimpleNamespace())
+    vocabulary = {"Yes": [1, 2], "yes": [3], " Yes": [4], " yes": [5]} | {f: [0, 9] for f in prompts.NO_FORMS}
+    add = encode.answer_difference("enron", lambda: lambda texts: np.array([[len(t), 0, 0, 2 * len(t)] for t in texts], float), vocabulary)
+    got = {r["sample_id"]: r["logit_diff"] for r in add(df).collect()}
+    assert got[1] == len(prompts.SPAM_QUESTION) + len("\n\na b\n\nAnswer:") and got[2] == 0.0
+
+
 def test_stream(spark, tmp_path):
     from scantling.streaming.results import arriving, ingest
 
