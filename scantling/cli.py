@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.results_dir:
         config.results_dir = args.results_dir
     config = conf.narrowed(config, getattr(args, "model", None), getattr(args, "dataset", None))
-    spark = SparkSession.builder.appName("scantling").getOrCreate()
+    spark = SparkSession.builder.appName("scantling").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if args.command in ("extract", "all"):
         modes = pipeline.MODES if args.mode == "all" else ("base" if args.mode == "standard" else args.mode,)
         for name, path in (x.split("=", 1) for x in args.source):

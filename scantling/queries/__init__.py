@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scantling.session import checkpoint_dir
+from scantling.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder, for queries that write and read again."""
     base = checkpoint_dir(spark)
     path = f"{base}/scratch-{uuid.uuid4().hex}-{name}"
-    atexit.register(shutil.rmtree, path.removeprefix("file:"), True)
+    atexit.register(store.remove, spark, path)
     return path
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever file system it is; does nothing once the session has ended."""
+    with contextlib.suppress(Exception):
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def write_vectors(df: DataFrame, path: str, parts: int = 4) -> None:
     """One folder a cell, so that a scan of a cell opens its files only; only cells that ``df`` has are replaced.
 
