@@ -11,7 +11,7 @@ from scantling.operators.sampling import draws
 from scantling.plans import pipeline
 from scantling.plans.config import Config
 from scantling.queries import query, scratch
-from scantling.queries.sampling import DRAWN, HELD, KS, MODES, PLACED, SEEDS, base, placed, pool, resampled
+from scantling.queries.sampling import DRAWN, HELD, KS, MODES, PLACED, SEEDS, base, placed, resampled
 from scantling.queries.sources import split_rows
 from scantling.session import cut, table
 from scantling.sources import store
@@ -45,15 +45,17 @@ MEASURED = f"""{CURVE}, measured as (select layer, k, seed, balance_mode, scorer
   max(case when (points <= 2 or i = 1 or np is null or p <> np or q <> nq) and fp <= 0.01::double * tot_n then tp else 0 end) / any_value(tot_p)::double as recall from curve group by layer, k, seed, balance_mode, scorer, split)"""
 
 
-def means(spark: SparkSession, d: str) -> DataFrame:
-    """Class means of every sample over every layer."""
-    return scorers.sample_means(draws(pool(spark, d), [], KS, SEEDS), pool(spark, d).join(layered(spark, d), "sample_id"), [], ["layer"], MODES)
+def means(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Class means of every sample over every layer; ``rows`` are of :func:`placed`."""
+    train = (placed(spark, d) if rows is None else rows).where("split = 'train_pool'")
+    return scorers.sample_means(draws(train, [], KS, SEEDS), train.join(layered(spark, d), "sample_id"), [], ["layer"], MODES)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Scores of both closed forms on the held-out rows of every cell."""
-    held = placed(spark, d).where("split <> 'train_pool'").join(layered(spark, d), "sample_id")
-    return scorers.closed_scores(means(spark, d), held, ["layer"], CLOSED).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
+    rows = cut(placed(spark, d))  # read three times: by the draws, the means and the scores
+    held = rows.where("split <> 'train_pool'").join(layered(spark, d), "sample_id")
+    return scorers.closed_scores(means(spark, d, rows), held, ["layer"], CLOSED).select(*CELLS, "scorer", "split", "sample_id", F.col("label").alias("y"), "score")
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
