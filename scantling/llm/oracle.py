@@ -97,5 +97,49 @@ select distinct d.id as doc_id, i.id as item_id from runs d join runs i on d.g =
 """
 
 
+P9_PASSAGES = r"""
+with grams as (
+  select 'i' as side, item_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from heldout_items
+  union all select 'd', doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') from documents),
+runs as (select side, id, unnest(range(1, len(w) - 10)) as at, unnest(list_transform(range(1, len(w) - 10), lambda i: w[i:i + 11])) as g from grams where len(w) >= 12)
+select d.id as doc_id, i.id as item_id, count(distinct i.at)::int as windows from runs d join runs i on d.g = i.g and d.side = 'd' and i.side = 'i' group by d.id, i.id
+"""
+
+P5_REPORT = r"""
+with train as (select distinct model, unnest(train_pool) as id from splits where dataset = 'enron'),
+held as (
+  select model, 'eval' as split, unnest(eval) as id from splits where dataset = 'enron'
+  union select model, 'test', unnest(test) from splits where dataset = 'enron'),
+words as (select sample_id as id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from enron where text is not null),
+shingles as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as s from words where len(w) >= 3),
+sizes as (select id, count(*) as n from shingles group by id),
+common as (select x.id as x, y.id as y, count(*) as c from shingles x join shingles y on x.s = y.s group by x.id, y.id),
+near as (select x, y from common join sizes a on a.id = x join sizes b on b.id = y where c >= 0.6 * (a.n + b.n - c)),
+links as (
+  select h.model, h.split, b.source, h.id, a.w = b.w as same from held h join near on near.y = h.id join train t on t.model = h.model and t.id = near.x
+  join words a on a.id = t.id join words b on b.id = h.id)
+select model, split, source, count(distinct id) as mails, count(distinct id) filter (same) as exact, count(*) as links from links group by model, split, source
+"""
+
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _p10_shares() -> str:
+    from scantling.llm.quality import COMMON, END
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return rf"""
+with parts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') as w, length(regexp_replace(coalesce(text, ''), '{_SPACE}+', '', 'g')) as dense,
+  list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_SPACE}+$', '')), lambda x: x <> '') as lines from documents),
+sums as (select *, len(array_to_string(w, '')) as letters from parts)
+select doc_id, len(w) as words, case when len(w) > 0 then round(letters / len(w), 6) end as mean_word_length, case when dense > 0 then round((dense - letters) / dense, 6) end as symbol_share,
+  case when len(lines) > 0 then round(len(list_filter(lines, lambda x: right(x, 1) in ({", ".join(map(quoted, END))}))) / len(lines), 6) end as line_end_share,
+  case when len(w) > 0 then round(len(list_filter(w, lambda x: lower(x) in ({", ".join(map(quoted, sorted(COMMON)))}))) / len(w), 6) end as common_share
+from sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_records": P1_RECORDS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND}
+    return {
+        "p1_found": P1_FOUND, "p1_records": P1_RECORDS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p9_found": P9_FOUND, "p9_passages": P9_PASSAGES, "p10_shares": _p10_shares(),
+    }

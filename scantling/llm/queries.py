@@ -103,6 +103,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).where("exact").select("doc_id", "item_id")
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """How many passages of twelve words of each item stand in a document."""
+    return p9_leaks(spark, d).where("exact").select("doc_id", "item_id", "windows")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return quotes.old_lines(table(spark, d, "enron").select("sample_id", "sent_at", "text"))
 
@@ -140,5 +145,11 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents"))
 
 
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The counts and shares among the statistics of every document."""
+    shares = ("mean_word_length", "symbol_share", "line_end_share", "common_share")
+    return quality.text_statistics(table(spark, d, "documents")).select("doc_id", "words", *(F.round(c, 6).alias(c) for c in shares))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_redacted, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_redacted, p3_found, p4_found, p4_new_texts, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_restored, p8_containers, p9_found, p9_leaks, p9_passages, p10_found, p10_statistics, p10_shares)}
