@@ -551,6 +551,55 @@ def test_edited_text_is_inherited_and_lookalikes_are_not(spark):
     assert _removed(spark, mails) == {2: [3, 4, 5, 6, 7, 8]}
 
 
+def test_a_mail_inherits_from_one_that_is_first_with_none_of_its_sentences(spark):
+    say = _say(9)
+    original = [say() for _ in range(6)]
+    source = [x for s in original for x in (s, f"{s.split()[0]} {s.split()[1]}.")]  # lines of two words are no boilerplate
+    mails = [(k, k, [say() for _ in range(9)] + [original[k]]) for k in range(6)]
+    mails += [(10, 20, source), (11, 21, [*(say() for _ in range(6)), *source])]
+    assert _removed(spark, mails)[11] == list(range(7, 19))
+
+
+def test_hot_sentences_are_paired_by_outlines(spark, monkeypatch):
+    """What mails inherit and go back to is the same by all pairs of mails, by outlines of the mails that hold hot sentences, and by brute force."""
+    rng, say = random.Random(10), _say(10)
+    notices = [[say(7) for _ in range(4)] for _ in range(3)]
+    mails = []
+    for i in range(70):
+        body = [say() for _ in range(rng.randrange(1, 9))] + rng.choice([[], ["Bye now."]])
+        if mails and rng.random() < 0.3:
+            other = rng.choice(mails)
+            body = rng.choice([body + other, other[:-1] + body[:1], other])
+        mails.append(body + rng.choice(notices)[: rng.randrange(5)])
+    placed = spark.createDataFrame([(i, i, "\n".join(x)) for i, x in enumerate(mails)], "sample_id long, place long, text string")
+    rows = placed.mapInArrow(quotes._cut, quotes.SENTENCES)
+    own = [[x[0] for x in quotes.sentences(x)] for x in mails]
+    often = defaultdict(int)
+    for x in own:
+        for s in x:
+            often[s] += 1
+    want = defaultdict(set)
+    versions = set()
+    for b in range(len(own)):
+        for a in range(b):
+            shared = {s for s in own[b] if s in own[a] and s.count(" ") >= 3}
+            if len(shared) >= 2 or shared and 5 * len(shared) >= sum(s.count(" ") >= 3 for s in own[b]):
+                how, places = quotes.relation(own[b], own[a], sum(1 / (often[s] - 1) for s in shared))
+                if how == quotes.INHERITS:
+                    want[b] |= {p + 1 for p in places}
+                if how == quotes.VERSION:
+                    versions.add(b)
+    for hot in (10**9, 8):
+        monkeypatch.setattr(quotes, "HOT", hot)
+        got = defaultdict(set)
+        related = quotes.relations(rows, rows.where("digest is not null")).collect()
+        for r in related:
+            if not r["version"]:
+                got[r["sample_id"]] |= set(r["lines"])
+        assert got == want and {r["sample_id"] for r in related if r["version"]} == versions, hot
+    assert len(want) > 20 and len(versions) > 5
+
+
 def test_lines_of_any_length_are_read():
     long = "x" * 50_000
     assert quotes.layout(f"new text\n\n> quoted {long}\n> more {long}") == [3, 4]
